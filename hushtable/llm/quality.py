@@ -47,7 +47,7 @@ RULES = (
     Rule("ellipsis_line_share", None, 0.5),
     Rule("exclaimed_word_share", None, 0.25),
     Rule("pipe_word_share", None, 0.2),
-    Rule("letter_word_share", 0.6, None),
+    Rule("letter_share", 0.6, None),
 )
 
 
@@ -56,23 +56,50 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def covered(p: Column) -> Column:
+    """How many words the 3-word windows at the sorted places cover: each adds what the next one does not."""
+    return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)).cast("int"))), F.lit(0), lambda a, x: a + x)
+
+
+def repeated_by_text(words: Column) -> Column:
+    """``repeated_words`` by sorting the windows themselves."""
+    keyed = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
+
+    def places(s: Column) -> Column:
+        again = F.filter(s, lambda x, k: x["w"].eqNullSafe(F.get(s, k - 1)["w"]) | x["w"].eqNullSafe(F.get(s, k + 1)["w"]))
+        return F.sort_array(F.transform(again, lambda x: x["i"]))
+
+    return bind(F.sort_array(keyed), lambda s: bind(places(s), covered))
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in 3-word windows that are found twice or more.
 
-    The windows with their places are sorted; equal neighbours give the places
-    of repeated windows, and a window adds the words that the next one does not cover.
+    A window is packed into one integer, its hash above its place, because
+    Spark sorts arrays of integers without boxes. Equal hashes are confirmed on
+    the words; a text in which two different windows share a hash is judged by
+    the windows themselves.
     """
-    n = F.size(words)
-    keyed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
+    bits = F.length(F.bin(F.size(words).cast("long")))
 
-    def places(s: Column) -> Column:
-        again = F.filter(s, lambda x, k: (x["w"] == F.get(s, k - 1)["w"]).eqNullSafe(F.lit(True)) | (x["w"] == F.get(s, k + 1)["w"]).eqNullSafe(F.lit(True)))
-        return F.sort_array(F.transform(again, lambda x: x["i"]))
+    def by_hash(b: Column) -> Column:
+        keyed = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), b).bitwiseOR(i.cast("long")))
+
+        def from_sorted(s: Column) -> Column:
+            place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1).cast("int")
+            alike = lambda x, y: F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), b) == 0, F.lit(False))
+            pairs = F.filter(s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1)))
+
+            def confirmed(p: Column) -> Column:
+                differ = lambda x, y: F.exists(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda o: F.get(words, place(x) + o) != F.get(words, place(y) + o))
+                clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda k: alike(F.get(p, k), F.get(p, k - 1)) & differ(F.get(p, k), F.get(p, k - 1)))
+                return F.when(F.size(p) == 0, F.lit(0)).when(clash, repeated_by_text(words)).otherwise(bind(F.sort_array(F.transform(p, place)), covered))
+
+            return bind(pairs, confirmed)
 
-    def covered(p: Column) -> Column:
-        return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+        return bind(F.sort_array(keyed), from_sorted)
 
-    return F.when(n < 4, F.lit(0)).otherwise(bind(F.sort_array(keyed), lambda s: bind(places(s), covered)))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(bind(bits, by_hash))
 
 
 def measured(text: Column) -> Column:
@@ -85,21 +112,22 @@ def measured(text: Column) -> Column:
 
     def of_lines(w: Column, lines: Column) -> Column:
         n, n_lines = F.size(w), F.size(lines)
-        word_chars = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        word_chars = F.length(F.array_join(w, "")).cast("long")
         n_symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))
         n_dup = n_lines - F.size(F.array_distinct(lines))
-        stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
+        without = lambda part: F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
+        stop = sorted(set(STOP_WORDS))
         return F.struct(
             n.cast("long").alias("n_words"), word_chars.alias("word_chars"), n_symbols.cast("long").alias("n_symbols"),
             n_dup.cast("long").alias("n_dup_lines"), repeated_words(w).cast("long").alias("n_repeat_words"),
             share(word_chars, n).alias("mean_word_chars"), share(n_symbols, n).alias("symbols_per_word"),
-            F.size(F.array_intersect(F.array_distinct(F.transform(w, F.lower)), stop)).alias("stop_words"),
+            F.size(F.array_distinct(F.filter(w, lambda x: x.isin(stop)))).alias("stop_words"),
             share(n_dup, n_lines).alias("dup_line_share"),
             share(count(lines, lambda x: F.ltrim(x).rlike("^[-*•] ")), n_lines).alias("bullet_line_share"),
             share(count(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")), n_lines).alias("ellipsis_line_share"),
-            share(count(w, lambda x: x.endswith("!!")), n).alias("exclaimed_word_share"),
-            share(count(w, lambda x: x == "|"), n).alias("pipe_word_share"),
-            share(count(w, lambda x: x.rlike("\\p{L}")), n - count(w, lambda x: x == "|")).alias("letter_word_share"),
+            share(without("!!") / 2, n).alias("exclaimed_word_share"),
+            share(without("|"), n).alias("pipe_word_share"),
+            share(F.length(F.regexp_replace(text, "\\P{L}+", "")), word_chars).alias("letter_share"),
         )
 
     full_lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
