@@ -11,11 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Words are maximal runs of anything but space and the control characters x09-x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,7 +40,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def kept_table(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts the lineage: a lost executor loses none of it."""
-    spark = df.sparkSession
+    ship(spark := df.sparkSession)
     df.write.parquet(path := scratch(spark, what))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -172,7 +172,7 @@ def opened(path: str, write: bool = False):
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
-    return store.open_output_stream(at) if write else store.open_input_file(at)
+    return store.open_output_stream(at, compression=None) if write else store.open_input_file(at)
 
 
 def made_folder(path: str) -> str:
