@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = {"op1_sstable": "sstable", "op2_quality_rules": "quality", "op4_byte_bpe": "byte_bpe", "op5_chat": "chat", "op6_html": "html_text", "op7_warc": "warc"}
+MODULES = {"op1_sstable": "sstable", "op2_quality_rules": "quality", "op4_byte_bpe": "byte_bpe", "op5_chat": "chat", "op6_html": "html_text", "op7_warc": "warc", "op10_minhash": "minhash"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
