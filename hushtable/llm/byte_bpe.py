@@ -27,6 +27,8 @@ from .common import small_batches, table
 
 #: Pieces that a worker remembers between batches.
 REMEMBERED = 200_000
+#: Marks after a Latin letter or a digit, at the end (U+0130 becomes a letter and a mark in lower case).
+FINAL_MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])[.,!#$%&*]+$"
 #: A space before any white space: such texts are encoded whole.
 LOOSE_SPACE = r" [\s\x0B\x{85}\p{Z}\x1c-\x1f]"
 
@@ -70,13 +72,13 @@ def token_bytes(path: str, pattern: str) -> list[bytes]:
 
 
 class PieceEncoder:
-    """Encodes lists of distinct strings and remembers the first ``REMEMBERED`` of them."""
+    """Encodes lists of distinct strings and remembers up to ``REMEMBERED`` of those that occur more than once in a batch."""
 
     def __init__(self, tokenizer):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = tokenizer, {}
 
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, pieces: list[str], occur: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one piece after another, and the number of ids of each piece."""
         known = self.known
         found = [known.get(p) for p in pieces]
@@ -84,13 +86,19 @@ class PieceEncoder:
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False), strict=True):
-                found[k] = e.ids
-                if len(known) < REMEMBERED and len(e.ids) < 64:
-                    known[pieces[k]] = e.ids
+                found[k] = ids = e.ids
+                if occur[k] > 1 and len(known) < REMEMBERED and len(ids) < 64:
+                    known[pieces[k]] = ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
+@functools.cache
+def encoder_of(vocabulary: str, pattern: str) -> PieceEncoder:
+    """One for each worker, as it remembers pieces from task to task."""
+    return PieceEncoder(load_tokenizer(vocabulary, pattern))
+
+
 def spread(flat: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``flat`` (of the given sizes) in the order ``of``, one after another, and the size of each."""
     starts = np.cumsum(sizes) - sizes
@@ -101,10 +109,20 @@ def spread(flat: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndar
 
 
 def encode_pieces(encoder: PieceEncoder, pieces: pa.Array, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of n texts given as pieces, and the number of ids of each text; ``of`` is the text of each piece, ascending."""
+    """Ids of n texts given as pieces, and the number of ids of each text; ``of`` is the text of each piece, ascending.
+
+    Marks at the end of a piece, after a letter or digit, are a match of their own for every pattern used
+    here, so they are encoded apart and fewer distinct strings remain.
+    """
     coded = pieces.dictionary_encode()
-    flat, sizes = encoder(coded.dictionary.to_pylist())
-    ids, per_piece = spread(flat, sizes, coded.indices.to_numpy())
+    occur = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+    stems = pc.replace_substring_regex(coded.dictionary, FINAL_MARKS, r"\1")
+    marks = pa.array([x[len(y) :] for x, y in zip(coded.dictionary.to_pylist(), stems.to_pylist(), strict=True)], pa.string())
+    parts = pa.concat_arrays([stems, marks]).dictionary_encode()
+    at = parts.indices.to_numpy()
+    flat, sizes = encoder(parts.dictionary.to_pylist(), np.bincount(at, weights=np.tile(occur, 2), minlength=len(parts.dictionary)).tolist())
+    flat, sizes = spread(flat, sizes, at.reshape(2, -1).T.reshape(-1))  # stem, mark, stem, mark ...
+    ids, per_piece = spread(flat, sizes.reshape(-1, 2).sum(1), coded.indices.to_numpy())
     return ids, np.bincount(of, weights=per_piece, minlength=n).astype(np.int64)
 
 
@@ -149,9 +167,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", kee
     own = T.StructType([*fields, *(T.StructField(c, T.BinaryType()) for c in ("ids", "starts", "ends")[: 3 if offsets else 1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(load_tokenizer(vocabulary, pattern))
+        encoder = encoder_of(vocabulary, pattern)
         lengths = np.array([len(x) for x in token_bytes(vocabulary, pattern)], np.int64) if offsets else None
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 16 << 20):
             ids, sizes = encode_texts(encoder, batch[text])
             columns = [batch[c] for c in keep] + [packed(ids.astype("<u4"), sizes)]
             if offsets:

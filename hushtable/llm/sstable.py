@@ -17,6 +17,7 @@ Index: for each block its first key (17 bytes), offset and size (unsigned 64 bit
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -167,6 +168,16 @@ class Shard:
         return found
 
 
+@functools.cache
+def word_encoder(vocabulary: str) -> PieceEncoder:
+    """One for each worker, as it remembers words from task to task."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return PieceEncoder(tokenizer)
+
+
 def opened(path: str, write: bool = False):
     """A file in any store that pyarrow knows, by its URI."""
     from pyarrow import fs
@@ -190,20 +201,16 @@ def write_shards(df: DataFrame, folder: str, vocabulary: str, end_id: int, doc_i
     """Encodes and writes all texts; returns the manifest, one row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder, writer = PieceEncoder(tokenizer), None
+        encoder, writer = word_encoder(vocabulary), None
+        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 16 << 20):
             if writer is None:
                 made_folder(folder)
                 sink = opened(path, write=True)
                 writer = ShardWriter(sink, width)
-            words, counts = flat_words(batch[text])
+            words, counts = flat_words(batch[text], lower=True)  # the tokenizer lowers letters and drops white space itself
             ids, sizes = encode_pieces(encoder, words, np.repeat(np.arange(len(counts)), counts), len(counts))
             ids, ends = ids.astype(f"<u{width}"), np.cumsum(sizes)
             end = np.array([end_id], ids.dtype).tobytes()
