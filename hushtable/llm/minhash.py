@@ -1,10 +1,10 @@
 """MinHash near-dedup: universal hash minima with banding, signature and full-set verification, components by alternating stars.
 
 Documents with the same shingle set are one class and enter the search once.
-In each band bucket every class is compared with the smallest one. That can
-miss a link between two classes that the smallest one links with neither, so
-buckets whose classes are still in different components are then compared in
-full, block by block, within tasks that return only pairs whose signatures
+In the buckets of the first bands every class is compared with the smallest
+one, then in all buckets those that are not in its component. That can miss a
+link between two classes that the smallest one links with neither, so buckets
+whose classes are still in different components are then compared in full, block by block, within tasks that return only pairs whose signatures
 agree; no pair is dropped for the size of its bucket.
 
 With ``BANDS`` bands of ``ROWS`` minima a pair at the threshold of 0.75 shares
@@ -31,6 +31,8 @@ from .graph import components
 
 SHINGLE, SIMILAR_PERCENT = 5, 75
 BANDS, ROWS = 48, 5
+#: Bands whose buckets link most copies before the others are looked at.
+FIRST_BANDS = 6
 #: Least share of equal minima for a pair to be confirmed on full sets.
 SIGNATURE_FLOOR = 0.60
 #: Classes of a bucket that are compared with each other at once.
@@ -107,7 +109,7 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def band_keys(df: DataFrame) -> DataFrame:
-    """``key`` and ``doc_id``, one row for each band of each signature."""
+    """``key``, ``band`` and ``doc_id``, one row for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +119,9 @@ def band_keys(df: DataFrame) -> DataFrame:
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
                 for i in range(ROWS):
                     key = mixed(key * BASES[0] + rows[:, :, i])
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["doc_id"].to_numpy(), BANDS))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), pa.array(np.repeat(batch["doc_id"].to_numpy(), BANDS))], names=["key", "band", "doc_id"])
 
-    return df.select("doc_id", "signature").mapInArrow(run, "key long, doc_id long")
+    return df.select("doc_id", "signature").mapInArrow(run, "key long, band byte, doc_id long")
 
 
 def sets_of(df: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,11 +169,16 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFr
     return kept_table(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def across(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+def unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their components and the bucket's size."""
+    members = buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "size")
+    return kept_table(members.join(open_keys, "key").select("key", "doc_id", "least", "component", "size"), "unsettled")
+
+
+def across(members: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs of one bucket in different components whose signatures agree: all of them, compared block by block."""
-    members = buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "size")
-    members = members.join(mixed_keys, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = members.select("key", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component").join(signed.select("doc_id", "signature"), "doc_id")
     least = int(SIGNATURE_FLOOR * BANDS * ROWS)
@@ -211,6 +218,12 @@ def across(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame
     return sorted_rows.select("key", "i", "j", "own", "doc_id", "component", "signature").mapInArrow(run, "a long, b long")
 
 
+def other_stars(members: DataFrame) -> DataFrame:
+    """Pairs of a bucket's smallest class with those of its classes that are not in its component."""
+    heads = members.where("doc_id = least").select("key", F.col("component").alias("c"))
+    return members.join(heads, "key").where("component != c").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``class_id`` (smallest document with the same set), ``component_id`` and ``kept``."""
     signed = kept_table(signatures(df, doc_id, text), "signatures")
@@ -220,12 +233,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     keys = band_keys(heads)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     buckets = kept_table(keys.join(shared, "key"), "buckets")
-    pairs = buckets.where("least != doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(alike(pairs, heads), df, doc_id, text)
+    verified = lambda pairs: confirmed(alike(pairs, heads), df, doc_id, text)
+    star = lambda rows: rows.where("least != doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = verified(star(buckets.where(F.col("band") < FIRST_BANDS)))
     found = kept_table(components(links), "components")
-    more = confirmed(across(buckets.select("key", "doc_id"), found, heads), df, doc_id, text)
-    if not more.isEmpty():
-        found = kept_table(components(links.union(more)), "components")
+    for pairs_of in (other_stars, lambda members: across(members, heads)):
+        more = verified(pairs_of(unsettled(buckets, found)))
+        if not more.isEmpty():
+            links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+            found = kept_table(components(links), "components")
     named = signed.join(classes, ["f", "g", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     named = named.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     out = named.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
