@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = {"op1_sstable": "sstable", "op2_quality_rules": "quality", "op3_decontaminate": "decontaminate", "op4_byte_bpe": "byte_bpe", "op5_chat": "chat", "op6_html": "html_text", "op7_warc": "warc", "op10_minhash": "minhash", "op9_substrings": "substrings"}
+MODULES = {"op1_sstable": "sstable", "op2_quality_rules": "quality", "op3_decontaminate": "decontaminate", "op4_byte_bpe": "byte_bpe", "op5_chat": "chat", "op6_html": "html_text", "op7_warc": "warc", "op8_pitman_yor": "pitman_yor", "op10_minhash": "minhash", "op9_substrings": "substrings"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
