@@ -10,7 +10,8 @@ fingerprint: fingerprint, document and place. A new batch is merge-joined with
 the runs; the matching places of older documents are read again from their
 texts, so that every window is verified by its own hash next to the
 fingerprint (112 bits in all). The rows of a batch, and those of older
-documents that match it, are dealt and sorted by fingerprint; a task streams
+documents that match it, are dealt and sorted by fingerprint (less the windows
+that were earlier in their own Arrow batch); a task streams
 them and finds the first of equal windows. A fingerprint with more rows than
 ``GROUP_ROWS`` isn't held by the task: its windows go on one by one, are dealt
 by their own hash and pre-aggregated, and none is left out. The same pass
@@ -31,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import BASES, flat_words, kept_table, mixed, scratch, small_batches, table, windows, word_ids
 
@@ -44,7 +45,7 @@ HASH_BYTES = 6
 #: Windows of a row.
 LONGEST = WINDOW - GRAM + 1
 NO_ID = -(1 << 63)
-ROWS = "fp long, doc_id long, pos int, hashes binary"
+ROWS = "fp long, doc_id long, pos int, n int, hashes binary"
 
 
 def grams_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,29 +67,50 @@ def grams_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def window_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fp``, ``doc_id``, ``pos`` and ``hashes`` of each run of windows with one fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 4 << 20):
-            words, counts = flat_words(batch[text])
-            fp, of, at, h = grams_of(word_ids(words), counts)
-            if not len(fp):
-                continue
-            new = np.ones(len(fp), bool)
-            new[1:] = (fp[1:] != fp[:-1]) | (of[1:] != of[:-1])
-            first = np.flatnonzero(new)
+    """``fp``, ``doc_id``, ``pos``, ``n`` and ``hashes`` of each run of windows with one fingerprint.
+
+    Windows that start earlier in the same Arrow batch need no look-up: they are told apart here, as
+    runs with no hashes and a fingerprint of their own, and only the first goes on. So copies, and
+    passages that very many documents share, are mostly settled before the shuffle.
+    """
+
+    def rows(fp: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Neighbouring places of one document and fingerprint become a row."""
+        if not len(fp):
+            return
+        new = np.ones(len(fp), bool)
+        new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+        first = np.flatnonzero(new)
+        if h is not None:
             new |= (np.arange(len(fp)) - first[np.cumsum(new) - 1]) % LONGEST == 0
-            for p in range(1, LONGEST):  # equal windows never share a row
-                new[p:] |= (h[p:] == h[:-p]) & (of[p:] == of[:-p])
             first = np.flatnonzero(new)
-            sizes = np.diff(np.append(first, len(fp)))
+        sizes = np.diff(np.append(first, len(fp)))
+        if h is None:
+            hashes = pa.array([b""]).take(pa.array(np.zeros(len(first), np.int64)))
+            key = mixed(doc[first].view(np.uint64) * BASES[0] + pos[first].astype(np.uint64))
+        else:
             raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * HASH_BYTES
             hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            docs = pc.fill_null(batch[doc_id].cast(pa.int64()), NO_ID).to_numpy()
-            columns = [pa.array(fp[first].view(np.int64)), pa.array(docs[of[first]]), pa.array(at[first].astype(np.int32)), hashes]
-            for a in range(0, len(first), 100_000):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in columns], names=["fp", "doc_id", "pos", "hashes"])
+            key = fp[first]
+        columns = [pa.array(key.view(np.int64)), pa.array(doc[first]), pa.array(pos[first].astype(np.int32)), pa.array(sizes.astype(np.int32)), hashes]
+        for a in range(0, len(first), 100_000):
+            yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in columns], names=["fp", "doc_id", "pos", "n", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text, 4 << 20):
+            batch = batch.take(pc.array_sort_indices(pc.fill_null(batch[doc_id].cast(pa.int64()), NO_ID)))
+            words, counts = flat_words(batch[text])
+            fp, of, pos, h = grams_of(word_ids(words), counts)
+            doc = pc.fill_null(batch[doc_id].cast(pa.int64()), NO_ID).to_numpy()[of]
+            order = np.argsort(h, kind="stable")  # equal windows stay in the order of their places
+            new = np.ones(len(h), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else order
+            again = np.zeros(len(h), bool)
+            again[order] = (doc[order] != doc[first]) | (pos[order] != pos[first])
+            yield from rows(fp[~again], doc[~again], pos[~again], h[~again])
+            yield from rows(np.zeros(int(again.sum()), np.uint64), doc[again], pos[again], None)
 
     return df.select(doc_id, text).mapInArrow(run, ROWS)
 
@@ -150,6 +172,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
+        told = pc.equal(pc.binary_length(rows["hashes"]), 0)
+        if pc.any(told).as_py():
+            early = rows.filter(pc.and_(told, rows["own"]))
+            yield _batch(REMOVED, early["doc_id"].to_numpy(), early["pos"].to_numpy(), n=early["n"].to_numpy())
+            rows = rows.filter(pc.invert(told))
+            if not rows.num_rows:
+                continue
         mine = rows.filter(rows["own"])
         if mine.num_rows:
             yield _batch(RUN, mine["doc_id"].to_numpy(), mine["pos"].to_numpy(), fp=mine["fp"].to_numpy())
@@ -187,7 +216,7 @@ class WindowIndex:
         return reduce(DataFrame.union, [self.spark.read.parquet(r) for r in self.runs]) if self.runs else None
 
     def add(self, batch: DataFrame, older: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Takes up a batch; ``older`` are the documents of all batches before. Returns ``doc_id`` and ``spans``: start and number of removed windows."""
+        """Takes up a batch; ``older`` are the documents of all batches before. Returns ``doc_id`` and ``spans``: start (upper half) and number (lower half) of removed windows."""
         rows = window_rows(batch, doc_id, text).withColumn("own", F.lit(True))
         if self.runs and older is not None:
             new = kept_table(window_rows(batch, doc_id, text).select("fp").distinct(), "new-fingerprints")
@@ -195,7 +224,7 @@ class WindowIndex:
             hits = kept_table(hits.distinct(), "fingerprint-hits")
             ids = hits.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_hit")).distinct()
             again = older.join(ids, older[doc_id].eqNullSafe(ids["_hit"]), "left_semi")
-            rows = rows.union(window_rows(again, doc_id, text).join(hits, ["fp", "doc_id"], "left_semi").select("fp", "doc_id", "pos", "hashes").withColumn("own", F.lit(False)))
+            rows = rows.union(window_rows(again, doc_id, text).join(hits, ["fp", "doc_id"], "left_semi").select("fp", "doc_id", "pos", "n", "hashes").withColumn("own", F.lit(False)))
         self.number += 1
         at = f"{self.folder}/merge-{self.number}"
         schema = "kind int, fp long, doc_id long, pos int, n int, hash long, own boolean"
@@ -212,7 +241,8 @@ class WindowIndex:
             first = opened.groupBy("fp", "hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
             later = opened.join(first, ["fp", "hash"]).where(F.col("own") & (F.struct("doc_id", "pos") > F.col("first")))
             removed = removed.union(later.select("doc_id", "pos", F.lit(1).alias("n")))
-        return removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("spans"))
+        span = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
+        return removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
     @staticmethod
     def has(found: DataFrame, kind: int) -> bool:
@@ -230,11 +260,9 @@ class WindowIndex:
 def applied(df: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The table with ``text`` made of the kept words, and ``n_words`` and ``n_removed``."""
     removed = kept_table(removed.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_of"), F.col("spans").alias("_spans")), "removed")
-    size = removed.agg(F.coalesce(F.sum(8 + 8 * F.size("_spans")), F.lit(0)).alias("n")).first()["n"]
+    size = removed.agg(F.coalesce(F.sum(48 + 8 * F.size("_spans")), F.lit(0)).alias("n")).first()["n"]
     small = F.broadcast(removed) if size <= BROADCAST_BYTES else removed
     joined = df.join(small, df[doc_id].eqNullSafe(F.col("_of")), "left").drop("_of")
-    from pyspark.sql import types as T
-
     own = T.StructType([*(f if f.name != text else T.StructField(text, T.StringType()) for f in df.schema.fields), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +271,11 @@ def applied(df: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str
             first = np.cumsum(counts) - counts
             spans = batch["_spans"]
             per = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
-            flat = pc.list_flatten(spans)
+            flat = pc.list_flatten(spans).to_numpy(zero_copy_only=False).astype(np.int64)
             change = np.zeros(len(words) + 1, np.int64)
-            start = np.repeat(first, per) + flat.field("pos").to_numpy()
+            start = np.repeat(first, per) + (flat >> 32)
             np.add.at(change, start, 1)
-            np.add.at(change, np.minimum(start + flat.field("n").to_numpy() + WINDOW - 1, len(words)), -1)
+            np.add.at(change, np.minimum(start + (flat & 0xFFFFFFFF) + WINDOW - 1, len(words)), -1)
             gone = np.cumsum(change[:-1]) > 0
             of = np.repeat(np.arange(len(counts)), counts)
             removed = np.bincount(of[gone], minlength=len(counts)).astype(np.int64)
