@@ -1,11 +1,13 @@
 """MinHash near-dedup: universal hash minima with banding, signature and full-set verification, components by alternating stars.
 
 Documents with the same shingle set are one class and enter the search once.
-In the buckets of the first bands every class is compared with the smallest
-one, then in all buckets those that are not in its component. That can miss a
-link between two classes that the smallest one links with neither, so buckets
-whose classes are still in different components are then compared in full, block by block, within tasks that return only pairs whose signatures
-agree; no pair is dropped for the size of its bucket.
+In the buckets of the first bands every class is compared with the bucket's
+leader, the class that meets most others over all bands; then in all buckets
+those that are not in the leader's component. That can miss a link between two
+classes that the leader links with neither, so buckets whose classes are still
+in different components are then compared in full, block by block, within
+tasks that return only links that join components; no pair is dropped for the
+size of its bucket.
 
 With ``BANDS`` bands of ``ROWS`` minima a pair at the threshold of 0.75 shares
 no bucket with probability (1 - 0.75 ** ROWS) ** BANDS, about 2e-6; the
@@ -158,11 +160,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both))
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -172,56 +170,85 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFr
 def unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component, with their components and the bucket's size."""
     members = buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "size")
-    return kept_table(members.join(open_keys, "key").select("key", "doc_id", "least", "component", "size"), "unsettled")
-
-
-def across(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components whose signatures agree: all of them, compared block by block."""
-    members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = members.select("key", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component").join(signed.select("doc_id", "signature"), "doc_id")
-    least = int(SIGNATURE_FLOOR * BANDS * ROWS)
-
-    def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        own = np.array([r[0] for r in rows])
-        ids, comps = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
-        one_block = own.min() == own.max()
-        for k in range(len(rows) - 1):
-            rest = slice(k + 1, None)
-            test = comps[rest] != comps[k]
-            if not one_block:
-                test &= own[rest] != own[k]
-            at = k + 1 + np.flatnonzero(test)
-            at = at[(marks[at] == marks[k]).sum(1) >= least] if len(at) else at
-            yield from ((min(ids[k], ids[m]), max(ids[k], ids[m])) for m in at)
+    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    return kept_table(members.join(open_keys, "key"), "unsettled")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """The test on full sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both)
+
+
+def links_across(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links that join different components of a bucket (or of two blocks of it): own block, document, component, signature, set of each row.
+
+    A pair is tested in the first bucket that it shares, and only while its components aren't joined.
+    """
+    own, ids = np.array([r[0] for r in rows]), [r[1] for r in rows]
+    marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
+    names, comp = np.unique([r[2] for r in rows], return_inverse=True)
+    if len(names) < 2:
+        return
+    sizes = [len(r[4]) // 8 for r in rows]
+    sets = {}
+    set_of = lambda k: sets.setdefault(k, np.frombuffer(rows[k][4], np.uint64))
+    one_block, least = own.min() == own.max(), int(SIGNATURE_FLOOR * BANDS * ROWS)
+    count = np.bincount(comp)
+    for k in np.argsort(count[comp], kind="stable").tolist():  # members of small components first
+        rest = np.flatnonzero((comp != comp[k]) if one_block else (comp != comp[k]) & (own != own[k]))
+        if not len(rest):
+            continue
+        equal = marks[rest] == marks[k]
+        good = np.flatnonzero(equal.sum(1) >= least)
+        first = equal[good].reshape(len(good), BANDS, ROWS).all(2).argmax(1) == band
+        good = good[first]
+        for m in rest[good[np.argsort(-equal[good].sum(1), kind="stable")]].tolist():
+            small, large = sorted((sizes[k], sizes[m]))
+            if comp[m] != comp[k] and 100 * small >= SIMILAR_PERCENT * large and similar(set_of(k), set_of(m)):
+                comp[comp == comp[k]] = comp[m]
+                yield ids[k], ids[m]
+
+
+def across(members: DataFrame, signed: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links between components that share a bucket. All pairs are compared, block by block, on full sets; only joining links leave the task."""
+    sets = sets_of(df, kept_table(members.select(F.col("doc_id").alias(doc_id)).distinct(), "unsettled-ids"), doc_id, text)
+    blocked = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = blocked.select("key", "band", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")
+    dealt = dealt.join(signed.select("doc_id", "signature").join(sets, "doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, out = None, [], []
         for batch in batches:
-            for key, i, j, own, doc, comp, mark in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "own", "doc_id", "component", "signature")), strict=True):
-                if (key, i, j) != group:
-                    if len(rows) > 1:
-                        out += compared(rows)
-                    group, rows = (key, i, j), []
-                rows.append((own, doc, comp, mark))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-                out = []
-        if len(rows) > 1:
-            out += compared(rows)
+            for key, band, i, j, *row in zip(*(batch[c].to_pylist() for c in ("key", "band", "i", "j", "own", "doc_id", "component", "signature", "shingles")), strict=True):
+                if (key, band, i, j) != group:
+                    if group:
+                        out += links_across(group[1], rows)
+                    group, rows = (key, band, i, j), []
+                rows.append(row)
+        if group:
+            out += links_across(group[1], rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_rows.select("key", "i", "j", "own", "doc_id", "component", "signature").mapInArrow(run, "a long, b long")
+    sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    return sorted_rows.select("key", "band", "i", "j", "own", "doc_id", "component", "signature", "shingles").mapInArrow(run, "a long, b long")
 
 
 def other_stars(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's smallest class with those of its classes that are not in its component."""
-    heads = members.where("doc_id = least").select("key", F.col("component").alias("c"))
-    return members.join(heads, "key").where("component != c").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    """Pairs of a bucket's leader with those of its classes that are not in its component."""
+    heads = members.where("doc_id = leader").select("key", F.col("component").alias("c"))
+    return members.join(heads, "key").where("component != c").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def led(keys: DataFrame) -> DataFrame:
+    """The members of all buckets of two or more, with the size n of the bucket and its leader: the member that meets most others over all bands."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = kept_table(keys.join(sizes, "key"), "bucket-members")
+    met = buckets.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    leaders = buckets.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("m")))["m"].alias("minus"))
+    return kept_table(buckets.join(leaders.select("key", (-F.col("minus")).alias("leader")), "key"), "buckets")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,15 +257,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = kept_table(linkable.groupBy("f", "g", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = linkable.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    keys = band_keys(heads)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    buckets = kept_table(keys.join(shared, "key"), "buckets")
+    buckets = led(band_keys(heads))
     verified = lambda pairs: confirmed(alike(pairs, heads), df, doc_id, text)
-    star = lambda rows: rows.where("least != doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = lambda rows: rows.where("leader != doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = verified(star(buckets.where(F.col("band") < FIRST_BANDS)))
     found = kept_table(components(links), "components")
-    for pairs_of in (other_stars, lambda members: across(members, heads)):
-        more = verified(pairs_of(unsettled(buckets, found)))
+    for links_of in (lambda members: verified(other_stars(members)), lambda members: kept_table(across(members, heads, df, doc_id, text), "links")):
+        more = links_of(unsettled(buckets, found))
         if not more.isEmpty():
             links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
             found = kept_table(components(links), "components")
