@@ -35,7 +35,7 @@ EDITS = 0.1
 MOST_Q = 8
 BLOCK_BYTES = 8 << 20
 GAP = b"\xff" * MOST_Q
-_SCATTER, _BITS = np.uint64(0x9E3779B97F4A7C15), 21
+_SCATTER, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
@@ -113,7 +113,7 @@ class Items:
 
     @cached_property
     def index(self) -> dict[int, tuple[np.ndarray, ...]]:
-        """For each q: a bit table, the sorted codes, where their postings start and end, and the items and places posted."""
+        """For each q: the sorted codes, where their postings start and end, and the items and places posted."""
         found = {}
         for q in sorted(set(self.bounds[0].tolist())):
             codes, items, places = [], [], []
@@ -128,22 +128,36 @@ class Items:
                 order = np.argsort(code, kind="stable")
                 code, item, place = code[order], item[order], place[order]
                 distinct, first = np.unique(code, return_index=True)
-                bits = np.zeros(1 << _BITS, bool)
-                bits[(distinct * _SCATTER) >> np.uint64(64 - _BITS)] = True
-                found[q] = bits, distinct, np.append(first, len(code)), item, place
+                found[q] = distinct, np.append(first, len(code)), item, place
         return found
 
+    @cached_property
+    def filter(self) -> tuple[np.uint64, np.ndarray]:
+        """A mask for the least q, and a bit table of all codes under it."""
+        mask, bits = mask_of(min(self.index, default=MOST_Q)), np.zeros(1 << _BITS, bool)
+        for distinct, *_ in self.index.values():
+            bits[((distinct & mask) * _SCATTER) >> np.uint64(64 - _BITS)] = True
+        return mask, bits
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """The places whose gram may be one of an item; in pieces that stay in the cache."""
+        mask, bits = self.filter
+        out = []
+        for a in range(0, len(codes), 1 << 16):
+            part = (codes[a : a + (1 << 16)] & mask) * _SCATTER
+            out.append(np.flatnonzero(bits[part >> np.uint64(64 - _BITS)]) + a)
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
     def search(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(text, item, edits) for all items found in the texts."""
         data, starts = normalized(texts)
         codes = grams(data)
-        out = []
-        for q, (bits, distinct, first, item, place) in self.index.items():
-            own = codes if q == MOST_Q else codes & mask_of(q)
-            at = np.flatnonzero(bits[(own * _SCATTER) >> np.uint64(64 - _BITS)])
-            hit = np.searchsorted(distinct, own[at])
+        out, near = [], self.candidates(codes)
+        for q, (distinct, first, item, place) in self.index.items():
+            at, own = near, codes[near] & mask_of(q)
+            hit = np.searchsorted(distinct, own)
             hit[hit == len(distinct)] = 0
-            true = distinct[hit] == own[at]
+            true = distinct[hit] == own
             at, hit = at[true], hit[true]
             per = first[hit + 1] - first[hit]
             posting = np.repeat(first[hit] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
@@ -151,13 +165,13 @@ class Items:
             doc = np.searchsorted(starts, at, side="right") - 1
             step = self.budgets[items] + 1
             band = (at - place[posting]) // step
-            key = np.stack([np.concatenate([doc, doc]), np.concatenate([items, items]), np.concatenate([band, band - 1])])
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            new = np.ones(key.shape[1], bool)
-            new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-            begin = np.flatnonzero(new)
-            count = np.diff(np.append(begin, key.shape[1]))
+            low = int(band.min()) - 1 if len(band) else 0
+            span = int(band.max()) - low + 1 if len(band) else 1
+            pair = (doc * len(self.ids) + items) * span + band - low  # documents of a batch, items of a block and bands: far below 2**63
+            code, count = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
+            rest, band = np.divmod(code, span)
+            doc, items = np.divmod(rest, len(self.ids))
+            key, begin = np.stack([doc, items, band + low]), np.arange(len(code))
             good = count >= self.bounds[1][key[1, begin]]
             begin, count = begin[good], count[good]
             begin = begin[np.lexsort((-count, key[1, begin], key[0, begin]))]  # the fullest band of a pair first
@@ -185,7 +199,8 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
     out = []
     for k in range(n):
         rows = marked.where(F.col("_block") == k).orderBy(item_id).collect()
-        out.append(Items([r[item_id] for r in rows], [r[text] or "" for r in rows]))
+        if rows:
+            out.append(Items([r[item_id] for r in rows], [r[text] or "" for r in rows]))
     return out
 
 
@@ -203,7 +218,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         return df.select(doc_id, text).mapInArrow(run, kinds)
 
-    return reduce(DataFrame.union, map(one, blocks_of(benchmark)))
+    return reduce(DataFrame.union, map(one, blocks_of(benchmark)), df.sparkSession.createDataFrame([], kinds))
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
