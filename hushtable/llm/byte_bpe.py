@@ -176,7 +176,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", kee
                 columns += [packed(x.astype("<i4"), sizes) for x in char_spans(batch[text], ids, sizes, lengths)]
             yield pa.RecordBatch.from_arrays(columns, names=own.names)
 
-    return df.select(*keep, F.col(text).alias(text)).mapInArrow(run, own)
+    return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, own)
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:

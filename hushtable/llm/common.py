@@ -38,6 +38,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names with so many underscores before them that no column of the table has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def kept_table(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts the lineage: a lost executor loses none of it."""
     ship(spark := df.sparkSession)

@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import fresh, table
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -136,7 +136,7 @@ def measured(text: Column) -> Column:
 
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", into: str = "quality") -> DataFrame:
     """The table with one struct more: the metrics, ``base_failed``, ``kept`` and ``failed`` (the metrics out of bounds)."""
-    q = "_quality_metrics"
+    (q,) = fresh(df, "_quality_metrics")
     m = F.col(q)
     base_failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     bad = []
@@ -151,7 +151,7 @@ def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", i
 
 def accepted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass all rules, with the columns of the table."""
-    into = "_quality"
+    (into,) = fresh(df, "_quality")
     return judged(df, rules, text, into).where(F.col(into)["kept"]).select(*df.columns)
 
 

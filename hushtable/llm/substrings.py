@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import BASES, flat_words, kept_table, mixed, scratch, small_batches, table, windows, word_ids
+from .common import BASES, flat_words, fresh, kept_table, mixed, scratch, small_batches, table, windows, word_ids
 
 WINDOW, GRAM = 20, 5
 GROUP_ROWS = 200_000
@@ -213,7 +213,7 @@ class WindowIndex:
         self.spark, self.folder, self.runs, self.number = spark, folder, [], 0
 
     def history(self) -> DataFrame | None:
-        return reduce(DataFrame.union, [self.spark.read.parquet(r) for r in self.runs]) if self.runs else None
+        return reduce(DataFrame.union, [self.spark.read.parquet(r).select("fp", "doc_id", "pos") for r in self.runs]) if self.runs else None
 
     def add(self, batch: DataFrame, older: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Takes up a batch; ``older`` are the documents of all batches before. Returns ``doc_id`` and ``spans``: start (upper half) and number (lower half) of removed windows."""
@@ -252,42 +252,45 @@ class WindowIndex:
         """Merges all runs into one that is sorted by fingerprint over all its files."""
         self.number += 1
         at = f"{self.folder}/run-{self.number}"
-        merged = self.history().select("fp", "doc_id", "pos")
+        merged = self.history()
         merged.repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "doc_id", "pos").write.parquet(at)
         self.runs = [at]
 
 
-def applied(df: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The table with ``text`` made of the kept words, and ``n_words`` and ``n_removed``."""
-    removed = kept_table(removed.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_of"), F.col("spans").alias("_spans")), "removed")
-    size = removed.agg(F.coalesce(F.sum(48 + 8 * F.size("_spans")), F.lit(0)).alias("n")).first()["n"]
+def applied(df: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text", names: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """The table with ``text`` made of the kept words, and two counts, which take the place of columns of these names."""
+    df = df.drop(*names)
+    of, spans = fresh(df, "_of", "_spans")
+    removed = kept_table(removed.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias(of), F.col("spans").alias(spans)), "removed")
+    size = removed.agg(F.coalesce(F.sum(48 + 8 * F.size(spans)), F.lit(0)).alias("n")).first()["n"]
     small = F.broadcast(removed) if size <= BROADCAST_BYTES else removed
-    joined = df.join(small, df[doc_id].eqNullSafe(F.col("_of")), "left").drop("_of")
-    own = T.StructType([*(f if f.name != text else T.StructField(text, T.StringType()) for f in df.schema.fields), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    joined = df.join(small, df[doc_id].eqNullSafe(F.col(of)), "left").drop(of)
+    own = T.StructType([*(f if f.name != text else T.StructField(text, T.StringType()) for f in df.schema.fields), *(T.StructField(c, T.LongType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
             words, counts = flat_words(batch[text])
             first = np.cumsum(counts) - counts
-            spans = batch["_spans"]
-            per = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
-            flat = pc.list_flatten(spans).to_numpy(zero_copy_only=False).astype(np.int64)
+            per = pc.fill_null(pc.list_value_length(batch[spans]), 0).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(batch[spans]).to_numpy(zero_copy_only=False).astype(np.int64)
             change = np.zeros(len(words) + 1, np.int64)
             start = np.repeat(first, per) + (flat >> 32)
-            np.add.at(change, start, 1)
-            np.add.at(change, np.minimum(start + (flat & 0xFFFFFFFF) + WINDOW - 1, len(words)), -1)
+            # rows that share an identifier may be shorter than the one a span comes from
+            end = np.repeat(first + counts, per)
+            np.add.at(change, np.minimum(start, end), 1)
+            np.add.at(change, np.minimum(start + (flat & 0xFFFFFFFF) + WINDOW - 1, end), -1)
             gone = np.cumsum(change[:-1]) > 0
-            of = np.repeat(np.arange(len(counts)), counts)
-            removed = np.bincount(of[gone], minlength=len(counts)).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts - removed)]).astype(np.int32)
+            of_text = np.repeat(np.arange(len(counts)), counts)
+            n_removed = np.bincount(of_text[gone], minlength=len(counts)).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts - n_removed)]).astype(np.int32)
             kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words.filter(pa.array(~gone))), " ")
             columns = [kept if f.name == text else batch[f.name] for f in own.fields[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed)], names=own.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(n_removed)], names=own.names)
 
     return joined.mapInArrow(run, own)
 
 
-def deduplicated(df: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", names: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """All rows, less the repeated windows. The documents are taken up in batches of ascending identifiers."""
     spark = df.sparkSession
     cuts = sorted(set(df.stat.approxQuantile(doc_id, [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
@@ -297,14 +300,15 @@ def deduplicated(df: DataFrame, batches: int = 2, doc_id: str = "doc_id", text:
         batch = df.where((F.lit(True) if low is None else key > low) & (F.lit(True) if cut is None else key <= cut))
         removed.append(index.add(batch, None if low is None else df.where(key <= low), doc_id, text))
         low = cut
-    return applied(df, reduce(DataFrame.union, removed), doc_id, text)
+    return applied(df, reduce(DataFrame.union, removed), doc_id, text, names)
 
 
 def cleaned(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the columns of the table: texts without their repeated windows, unchanged where nothing repeats; documents with no word left go."""
-    out = deduplicated(df.withColumn("_before", F.col(text)), doc_id=doc_id, text=text)
-    kept = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return kept.withColumn(text, F.when(F.col("n_removed") == 0, F.col("_before")).otherwise(F.col(text))).select(*df.columns)
+    before, n_words, n_removed = fresh(df, "_before", "_n_words", "_n_removed")
+    out = deduplicated(df.withColumn(before, F.col(text)), doc_id=doc_id, text=text, names=(n_words, n_removed))
+    kept = out.where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_words)))
+    return kept.withColumn(text, F.when(F.col(n_removed) == 0, F.col(before)).otherwise(F.col(text))).select(*df.columns)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,8 @@ def records_of(raw: bytes) -> Iterator[bytes]:
 
 
 def with_responses(df: DataFrame, page_id: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Adds ``revisit`` and ``refers_to``. Only digests that occur twice or more go into the join."""
+    """Adds ``revisit`` and ``refers_to``, in place of columns of these names. Only digests that occur twice or more go into the join."""
+    df = df.drop("revisit", "refers_to")
     whole = F.coalesce(F.col(payload), F.lit(""))
     rows = df.withColumn("_digest", F.sha1(whole)).withColumn("_size", F.octet_length(whole))
     shared = rows.where(F.col("_size") >= least_bytes).groupBy("_digest", "_size").agg(F.max(page_id).alias("_response"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
