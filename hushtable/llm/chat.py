@@ -205,4 +205,4 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.createDataFrame(HARD, "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return read_tree(*write_tree(rows, scratch(spark, "chat"), vocabulary), vocabulary)
+    return read_tree(*write_tree(rows, scratch(spark, "chat"), vocabulary), vocabulary).drop("n_tokens")

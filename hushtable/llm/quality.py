@@ -158,4 +158,4 @@ def accepted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(q[c].alias(c) for c in out), q["failed"].alias("failed_rules"))
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(q[c].alias(c) for c in out))
