@@ -47,10 +47,14 @@ BROADCAST_BYTES = 8 << 20
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "aside", "children", "text", "links")
+    """``unread`` by its element, ``aside`` by its element or by its names; both hold for all below, but names don't reach into an article."""
 
-    def __init__(self, tag: str, label: str, parent: Node | None, aside: bool):
-        self.tag, self.label, self.parent, self.aside = tag, label, parent, aside
+    __slots__ = ("tag", "label", "parent", "unread", "aside", "children", "text", "links")
+
+    def __init__(self, tag: str, label: str, parent: Node | None, unread: bool, named: bool):
+        self.tag, self.label, self.parent = tag, label, parent
+        self.unread = unread or parent is not None and parent.unread
+        self.aside = self.unread or named or parent is not None and parent.aside and tag not in MAIN
         self.children, self.text, self.links = [], [], 0
         if parent is not None:
             parent.children.append(self)
@@ -61,7 +65,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", "", None, False)
+        self.root = self.at = Node("", "", None, False, False)
         self.blocks: list[tuple[Node, str]] = []
         self.buffer: list[str] = []
         self.in_link = 0
@@ -92,9 +96,11 @@ class Page(HTMLParser):
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
         found = [x for x in re.split(r"[^a-z]+", names) if x]
         hidden = any(k == "hidden" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
-        inside_main = tag == "header" and any(self.is_in(m) for m in MAIN)
-        aside = tag in UNREAD or hidden or tag == "header" and not inside_main or tag not in ("html", "body", *MAIN) and not ASIDE_NAMES.isdisjoint(found)
-        self.at = Node(tag, ".".join([tag, *found]), self.at, self.at.aside or aside)
+        inside = any(self.is_in(m) for m in MAIN)
+        unread = tag in UNREAD or hidden or tag == "header" and not inside
+        names_of_asides = ASIDE_NAMES - {"header"} if inside else ASIDE_NAMES  # the heading of an article is its own
+        named = tag not in ("html", "body", *MAIN) and not names_of_asides.isdisjoint(found)
+        self.at = Node(tag, ".".join([tag, *found]), self.at, unread, named)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
@@ -252,7 +258,8 @@ def main_text(page: Page, wrap: dict | None) -> str:
                 inside.append(text)
         if inside:
             return "\n".join(inside)
-    return "\n".join(text for node, text in page.blocks if not node.aside)
+    found = [text for node, text in page.blocks if not node.aside]
+    return "\n".join(found or [text for node, text in page.blocks if not node.unread])
 
 
 def host_of(url: str) -> F.Column:

@@ -45,6 +45,12 @@ def test_copies_keep_their_text_and_constant_boxes_go(spark):
     assert all("Always here" not in got[10 + k] and "Fixed box" not in got[10 + k] and got[10 + k].endswith(f"end {k}") for k in range(6))
 
 
+def test_names_of_wrappers_do_not_hide_the_article(spark):
+    body = '<html><body class="nav-open"><div class="has-sidebar"><article><div class="post-header"><h1>T</h1></div><p>x</p><div class="share">tweet</div></article></div></body></html>'
+    other = '<html><body><div class="page with-sidebar"><p>only text</p></div><form>no</form></body></html>'
+    assert texts(html_text.extract(pages(spark, [(1, "http://a.org", body), (2, "http://b.org", other)]))) == {1: "T\nx", 2: "only text"}
+
+
 def test_tree_matching():
     leaf = lambda label, *kids: [label, 1, 0, 0, 0, 0, list(kids)]
     a, b = [leaf("a"), leaf("b", leaf("x"), leaf("y")), leaf("c")], [leaf("b", leaf("y")), leaf("z"), leaf("c")]
