@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .access import Gate, Level
+from .errors import NotFound
 from .functions.codewords import BUCKETS, KEY_BITS
 from .operators import bucketed, select as exact
 from .plans.lookup import Lookup, Match, check, check_window
@@ -69,6 +70,15 @@ class Session:
             self.catalog.read(name, self.database).createOrReplaceTempView(name)
         return self.spark.sql(text, args=values)
 
+    def status(self, table: str) -> dict[str, Any]:
+        """Whether the table has a version, which is current, and its rows."""
+        self._admit(Level.ADMIN)
+        try:
+            epoch = self.catalog.epoch(table, self.database)
+        except NotFound:
+            return {"has_epoch": False, "version": 0, "rows": 0}
+        return {"has_epoch": True, "version": epoch.version, "rows": epoch.rows}
+
     def tables(self) -> DataFrame:
         return self.catalog.tables()
 

@@ -85,6 +85,7 @@ def test_session(spark, tmp_path):
     assert sorted(r["v"] for r in clean.collect()) == ["a", "b", "eight"] and collided.first()[0] == 0
     assert root.sql("SELECT v FROM t WHERE k = :k", k=8).first()[0] == "eight"
     assert [r["v"] for r in root.scan("t", 2).collect()] == ["a", "b"]
+    assert root.status("t") == {"has_epoch": True, "version": 2, "rows": 4} and not root.status("u")["has_epoch"]
     assert rendered(root.lookup("t", ("v", "name"), where=eq("k", 8))) == "name\n-----\neight"
     alice = Session(spark, at, Gate(tokens), "tok-a")
     assert alice.count("t", eq("k", 7)).first()[0] == 2
