@@ -51,6 +51,12 @@ RULES = (
 )
 
 
+METRICS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "stop_words", "dup_line_share",
+    "bullet_line_share", "ellipsis_line_share", "exclaimed_word_share", "pipe_word_share", "letter_share",
+)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -136,17 +142,16 @@ def measured(text: Column) -> Column:
 
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", into: str = "quality") -> DataFrame:
     """The table with one struct more: the metrics, ``base_failed``, ``kept`` and ``failed`` (the metrics out of bounds)."""
-    (q,) = fresh(df, "_quality_metrics")
-    m = F.col(q)
-    base_failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    bad = []
-    for rule in rules:
-        tests = [t for t in (None if rule.low is None else m[rule.metric] < rule.low, None if rule.high is None else m[rule.metric] > rule.high) if t is not None]
-        bad.append(F.when(reduce(lambda a, b: a | b, tests), F.lit(rule.metric)))
-    failed = F.array_compact(F.array(*bad))
-    names = [f.name for f in df.select(measured(F.col(text)).alias(q)).schema[q].dataType.fields]
-    verdict = F.struct(*(m[c].alias(c) for c in names), base_failed.alias("base_failed"), (~base_failed & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
-    return df.withColumn(q, measured(F.col(text))).withColumn(into, verdict).drop(q)
+    def verdict(m: Column) -> Column:
+        base_failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        bad = []
+        for rule in rules:
+            tests = [t for t in (None if rule.low is None else m[rule.metric] < rule.low, None if rule.high is None else m[rule.metric] > rule.high) if t is not None]
+            bad.append(F.when(reduce(lambda a, b: a | b, tests), F.lit(rule.metric)))
+        failed = F.array_compact(F.array(*bad))
+        return F.struct(*(m[c].alias(c) for c in METRICS), base_failed.alias("base_failed"), (~base_failed & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
+
+    return df.withColumn(into, bind(measured(F.col(text)), verdict))  # bound, as a filter on it would repeat the expression
 
 
 def accepted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
