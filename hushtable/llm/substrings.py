@@ -66,8 +66,8 @@ def grams_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return least[(np.cumsum(counts) - counts)[of] + at], of, at, h
 
 
-def window_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fp``, ``doc_id``, ``pos``, ``n`` and ``hashes`` of each run of windows with one fingerprint.
+def window_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wanted: str | None = None) -> DataFrame:
+    """``fp``, ``doc_id``, ``pos``, ``n`` and ``hashes`` of each run of windows with one fingerprint; only fingerprints in the row's list ``wanted``, if that is given.
 
     Windows that start earlier in the same Arrow batch need no look-up: they are told apart here, as
     runs with no hashes and a fingerprint of their own, and only the first goes on. So copies, and
@@ -109,10 +109,17 @@ def window_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else order
             again = np.zeros(len(h), bool)
             again[order] = (doc[order] != doc[first]) | (pos[order] != pos[first])
+            if wanted:
+                lists = batch[wanted]
+                of_list = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                keys = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * BASES[0] + of_list.astype(np.uint64)
+                own = np.isin(fp * BASES[0] + of.astype(np.uint64), keys) & ~again
+                yield from rows(fp[own], doc[own], pos[own], h[own])
+                continue
             yield from rows(fp[~again], doc[~again], pos[~again], h[~again])
             yield from rows(np.zeros(int(again.sum()), np.uint64), doc[again], pos[again], None)
 
-    return df.select(doc_id, text).mapInArrow(run, ROWS)
+    return df.select(doc_id, text, *([wanted] if wanted else [])).mapInArrow(run, ROWS)
 
 
 FOUND = pa.schema([("kind", pa.int32()), ("fp", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("own", pa.bool_())])
@@ -220,11 +227,12 @@ class WindowIndex:
         rows = window_rows(batch, doc_id, text).withColumn("own", F.lit(True))
         if self.runs and older is not None:
             new = kept_table(window_rows(batch, doc_id, text).select("fp").distinct(), "new-fingerprints")
-            hits = self.history().join(new, "fp", "left_semi").select("fp", "doc_id")
-            hits = kept_table(hits.distinct(), "fingerprint-hits")
-            ids = hits.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_hit")).distinct()
-            again = older.join(ids, older[doc_id].eqNullSafe(ids["_hit"]), "left_semi")
-            rows = rows.union(window_rows(again, doc_id, text).join(hits, ["fp", "doc_id"], "left_semi").select("fp", "doc_id", "pos", "n", "hashes").withColumn("own", F.lit(False)))
+            hits = kept_table(self.history().join(new, "fp", "left_semi").select("fp", "doc_id"), "fingerprint-hits")
+            found, wanted = fresh(older, "_found", "_wanted")
+            by_doc = hits.groupBy(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias(found)).agg(F.collect_set("fp").alias(wanted))
+            small = F.broadcast(by_doc) if hits.count() * 64 <= BROADCAST_BYTES else by_doc
+            again = older.join(small, older[doc_id].eqNullSafe(F.col(found)))
+            rows = rows.union(window_rows(again, doc_id, text, wanted).withColumn("own", F.lit(False)))
         self.number += 1
         at = f"{self.folder}/merge-{self.number}"
         schema = "kind int, fp long, doc_id long, pos int, n int, hash long, own boolean"
