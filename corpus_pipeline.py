@@ -1,4 +1,12 @@
-"""A training-corpus pipeline over ``documents``: each stage is written as Parquet and read again by the next."""
+"""A training-corpus pipeline over ``documents``: each stage is written as Parquet and read again by the next.
+
+Null and empty texts break a quality rule and go in the first stage; given to a
+later one they pass (they have no words, no links, no windows and no item).
+Rows with a null identifier pass near_dedup, as they can't be named; repeated
+rows are judged alike, and near_dedup keeps all rows of the identifier that
+stays. An empty table gives an empty table. All columns of the table pass
+through, whatever their names; the last stage returns its own.
+"""
 
 from __future__ import annotations
 
