@@ -148,6 +148,28 @@ def epochs_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared columns of a published table."""
+    df, schema = opened(spark, sf_dir, "nation")
+    catalog = Catalog(spark, scratch(spark))
+    catalog.publish(with_rid(df, "n_nationkey"), schema)
+    return catalog.describe("nation")
+
+
+def epoch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions after two loads, an append, a rollback and a prune to two versions."""
+    df, schema = opened(spark, sf_dir, "nation")
+    catalog = Catalog(spark, scratch(spark))
+    rows = with_rid(df, "n_nationkey")
+    for _ in range(2):
+        catalog.publish(rows, schema)
+    catalog.append(rows, "nation")
+    catalog.publish(rows.where("n_regionkey = 1"), schema)
+    catalog.rollback("nation", 1)
+    catalog.prune("nation", keep=2)
+    return catalog.epochs("nation")
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes suppliers as CSV text and loads them with all checks."""
     df, _ = opened(spark, sf_dir, "supplier")
@@ -222,6 +244,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "record_size": (record_sizes, "SELECT c_custkey, CAST(2 + octet_length(encode(c_name)) + 8 + 8 + 2 + octet_length(encode(c_mktsegment)) AS BIGINT) AS record_bytes FROM customer"),
     "json_payload": (looked_up("events", "value", "props", where=eq("event_type", "click"), limit=500), "SELECT value, props FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 500"),
     "epochs_over_time": (epochs_over_time, "SELECT 1::BIGINT AS version, n_name FROM nation UNION ALL SELECT 2, n_name FROM nation UNION ALL SELECT 2, lower(n_name) FROM nation UNION ALL SELECT 3, n_name FROM nation WHERE n_regionkey = 1"),
+    "describe_table": (describe_table, "SELECT * FROM (VALUES (0, 'n_nationkey', 'int', 'key'), (1, 'n_name', 'text', 'index'), (2, 'n_regionkey', 'int', 'index')) AS v(position, name, type, role)"),
+    "epoch_list": (epoch_list, "SELECT v.version::BIGINT AS version, CASE v.version WHEN 1 THEN n WHEN 3 THEN 2 * n ELSE m END::BIGINT AS rows, v.version = 1 AS current FROM (VALUES (1), (3), (4)) AS v(version), (SELECT count(*) AS n, count(*) FILTER (n_regionkey = 1) AS m FROM nation)"),
     "csv_round_trip": (csv_round_trip, "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier"),
     "streamed_events": (streamed_events, "SELECT event_type, count(*) AS count_star FROM events GROUP BY event_type"),
 }

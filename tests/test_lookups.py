@@ -175,7 +175,7 @@ def test_queries_match_their_sql(spark):
     for t in queries.ROLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
     for name, (query, sql) in queries.ALL.items():
-        if sql is None or name in ("epochs_over_time", "csv_round_trip", "streamed_events"):
+        if sql is None or name in ("epochs_over_time", "describe_table", "epoch_list", "csv_round_trip", "streamed_events"):
             continue
         df = query(spark, at)
         relation = con.sql(sql)

@@ -107,7 +107,7 @@ def test_gate():
         read_tokens("alice boss tok")
 
 
-@pytest.mark.parametrize("name", ["epochs_over_time", "csv_round_trip", "streamed_events"])
+@pytest.mark.parametrize("name", ["epochs_over_time", "describe_table", "epoch_list", "csv_round_trip", "streamed_events"])
 def test_table_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
