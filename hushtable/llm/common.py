@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -13,12 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
 #: Words are maximal runs of anything but space and the control characters x09-x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors, and lowers the size of Arrow batches where nobody set it, as texts are long and a task holds several batches."""
     ship(spark)
+    if spark.conf.get(BATCH_CONF, "") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,11 +61,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def kept_table(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts the lineage: a lost executor loses none of it."""
-    ship(spark := df.sparkSession)
+    prepare(spark := df.sparkSession)
     df.write.parquet(path := scratch(spark, what))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker outlives its tasks and the next may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the text of each is about ``most_bytes`` at most; a longer text gets a batch of its own. No row is dropped."""
     for batch in batches:
@@ -68,6 +85,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def flat_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
