@@ -23,7 +23,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the executors, and lowers the size of Arrow batches where nobody set it, as texts are long and a task holds several batches."""
     ship(spark)
-    if spark.conf.get(BATCH_CONF, "") == BATCH_DEFAULT:
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
