@@ -102,7 +102,7 @@ class ShardWriter:
 
     def close(self) -> None:
         self.flush()
-        ends = [*(o for _, o in self.index[1:]), self.at]
+        ends = [*(o for _, o in self.index), self.at][1:]
         index = b"".join(k + struct.pack("<QQ", o, e - o) for (k, o), e in zip(self.index, ends, strict=True))
         bits = max(64, len(self.keys) * BLOOM_BITS_PER_KEY)
         bloom = bytearray((bits + 7) // 8)
