@@ -88,6 +88,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
     give_back()
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches to so many rows, for steps that make much of a row."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            yield batch.slice(a, most)
+    give_back()
+
+
 def flat_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of some texts, one after another, and the number of words of each text. A null text has none."""
     text = pc.fill_null(text, "")

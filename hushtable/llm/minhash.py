@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import packed
-from .common import BASES, flat_words, kept_table, mixed, small_batches, table, windows, word_ids
+from .common import BASES, few_rows, flat_words, kept_table, mixed, small_batches, table, windows, word_ids
 from .graph import components
 
 SHINGLE, SIMILAR_PERCENT = 5, 75
@@ -97,7 +97,7 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     names = ["doc_id", "n", "f", "g", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 4 << 20):
+        for batch in small_batches(batches, text, 2 << 20):
             h, sizes = shingle_sets(batch[text])
             signature = minima(h, sizes)
             sums = []
@@ -114,14 +114,13 @@ def band_keys(df: DataFrame) -> DataFrame:
     """``key``, ``band`` and ``doc_id``, one row for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, 1000):
             n = batch.num_rows
-            if n:
-                rows = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(n, BANDS, ROWS).astype(np.uint64)
-                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
-                for i in range(ROWS):
-                    key = mixed(key * BASES[0] + rows[:, :, i])
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), pa.array(np.repeat(batch["doc_id"].to_numpy(), BANDS))], names=["key", "band", "doc_id"])
+            rows = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(n, BANDS, ROWS).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
+            for i in range(ROWS):
+                key = mixed(key * BASES[0] + rows[:, :, i])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), pa.array(np.repeat(batch["doc_id"].to_numpy(), BANDS))], names=["key", "band", "doc_id"])
 
     return df.select("doc_id", "signature").mapInArrow(run, "key long, band byte, doc_id long")
 
@@ -131,7 +130,7 @@ def sets_of(df: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "
     few = ids.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 4 << 20):
+        for batch in small_batches(batches, text, 2 << 20):
             h, sizes = shingle_sets(batch[text])
             yield pa.RecordBatch.from_arrays([batch[doc_id].cast(pa.int64()), packed(h, sizes, 8)], names=["doc_id", "shingles"])
 
@@ -143,10 +142,9 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     least = int(SIGNATURE_FLOOR * BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+        for batch in few_rows(batches, 1000):
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
     both = pairs.join(signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("x")), "a").join(signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -159,7 +157,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFr
     sets = kept_table(sets_of(df, ids, doc_id, text), "candidate-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, 1000):
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -220,7 +218,7 @@ def across(members: DataFrame, signed: DataFrame, df: DataFrame, doc_id: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, out = None, [], []
-        for batch in batches:
+        for batch in few_rows(batches, 1000):
             for key, band, i, j, *row in zip(*(batch[c].to_pylist() for c in ("key", "band", "i", "j", "own", "doc_id", "component", "signature", "shingles")), strict=True):
                 if (key, band, i, j) != group:
                     if group:

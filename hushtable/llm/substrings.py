@@ -34,10 +34,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import BASES, flat_words, fresh, kept_table, mixed, scratch, small_batches, table, windows, word_ids
+from .common import BASES, few_rows, flat_words, fresh, kept_table, mixed, scratch, small_batches, table, windows, word_ids
 
 WINDOW, GRAM = 20, 5
-GROUP_ROWS = 200_000
+GROUP_ROWS, MERGED_ROWS = 200_000, 50_000
 MOST_RUNS = 4
 #: What is removed is broadcast up to this size; Spark joins more by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -175,9 +175,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: pa.Table | None = None
     frequent = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in few_rows(batches, MERGED_ROWS):
         rows = pa.Table.from_batches([batch])
         told = pc.equal(pc.binary_length(rows["hashes"]), 0)
         if pc.any(told).as_py():
