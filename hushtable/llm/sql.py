@@ -59,7 +59,7 @@ WITH b AS (
   SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer>|$)', 1), '</?(?:p|h1|br)>')) AS raw, generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer>|$)', 1), '</?(?:p|h1|br)>'), 1) AS k
   FROM pages),
 t AS (
-  SELECT page_id, url, k, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS block FROM b),
+  SELECT page_id, url, k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(raw, '<[^>]+>', '', 'g'), '&nbsp;?', chr(160), 'g'), '&#x27;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[\s\x{A0}]+', ' ', 'g')) AS block FROM b),
 j AS (SELECT page_id, string_agg(block, chr(10) ORDER BY k) FILTER (block <> '') AS text FROM t GROUP BY page_id)
 SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM pages LEFT JOIN j USING (page_id)"""
 
