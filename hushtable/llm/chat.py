@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .byte_bpe import byte_chars, packed
+from .byte_bpe import byte_chars
 from .common import kept_table, scratch, small_batches, table
 
 OPEN, CLOSE, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
