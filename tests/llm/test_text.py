@@ -235,6 +235,21 @@ def test_pitman_yor(spark, table, docs, empty):
     assert pitman_yor.scored(empty).count() == 0
 
 
+def test_pitman_yor_arrays_survive_packing():
+    arrays = {"h": np.array([1, 2**63], np.uint64), "u": np.array([3, 4], np.uint8), "none": np.empty(0, np.int64), "train": np.array([True, False])}
+    got = pitman_yor.unpacked(pitman_yor.packed_arrays(**arrays))
+    assert list(got) == list(arrays) and all(got[k].dtype == x.dtype and got[k].tolist() == x.tolist() for k, x in arrays.items())
+
+
+@pytest.mark.parametrize(("per_block", "at_most"), [(1, 1), (1 << 20, 7), (1 << 20, 1 << 22)])
+def test_pitman_yor_is_the_same_however_tokens_are_dealt(spark, table, monkeypatch, per_block, at_most):
+    want = by_id(pitman_yor.scored(table), "n_tokens", "n_known", "base_score", "score")
+    monkeypatch.setattr(pitman_yor, "DEALT_PER_BLOCK", per_block)
+    monkeypatch.setattr(pitman_yor, "DEALT_AT_MOST", at_most)
+    got = by_id(pitman_yor.scored(table), "n_tokens", "n_known", "base_score", "score")
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_pitman_yor_ties_in_identifiers(nulls):
     rows = {r["doc_id"]: r["n_tokens"] for r in pitman_yor.scored(nulls).collect()}
     assert rows == {None: 82, 5: 162, 6: 1, 7: 8}
