@@ -187,8 +187,11 @@ def fold(into: list, other: list) -> list:
     return into
 
 
-def wrapper(template: list) -> dict:
-    """The path of labels to the content, and the paths below it that are template."""
+def wrapper(template: list) -> dict | None:
+    """The path of labels to the content, and the paths below it that are template: boxes that are the same on nearly all pages.
+
+    None where nothing varies, as on a host that has copies of one page only: these don't tell an article from a box.
+    """
 
     def mass(node: list) -> int:
         """Varying text in the node that is neither aside nor mostly links."""
@@ -208,6 +211,8 @@ def wrapper(template: list) -> dict:
         while node[6] and (best := max(node[6], key=mass))[6] and mass(best) > 0.8 * mass(node):
             node = best
             path = [*path, node[0]]
+    if not mass(template) or template[1] > 1 and template[2] is not None:
+        return None
     node = template
     for label in path[1:]:
         node = next(c for c in node[6] if c[0] == label)
@@ -215,7 +220,7 @@ def wrapper(template: list) -> dict:
 
     def constants(x: list, at: list[str]) -> None:
         for c in x[6]:
-            if c[0].split(".")[0] in ("div", "section", "ul", "ol", "table") and c[1] >= 3 and c[3] and same(c):
+            if c[0].split(".")[0] in ("div", "section", "ul", "ol", "table") and c[1] >= max(3, 0.9 * template[1]) and c[3] and same(c):
                 constant.append([*at, c[0]])
             else:
                 constants(c, [*at, c[0]])
@@ -280,7 +285,10 @@ def induced(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
         for batch in small_batches(batches, "html"):
             for host, raw in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                own = skeleton(Page(raw or "").root)
+                if not raw or raw.isspace():
+                    continue  # no tree to align
+                own = skeleton(Page(raw).root)
+                own[2] = zlib.crc32(raw.encode())  # the root stands for the whole page
                 held[host] = fold(held[host], own) if host in held else own
                 if len(held) > 5_000:
                     yield out()

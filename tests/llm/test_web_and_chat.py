@@ -45,6 +45,14 @@ def test_copies_keep_their_text_and_constant_boxes_go(spark):
     assert all("Always here" not in got[10 + k] and "Fixed box" not in got[10 + k] and got[10 + k].endswith(f"end {k}") for k in range(6))
 
 
+def test_lists_of_copies_are_no_boxes(spark):
+    """Copies of one page make its lists the same on many pages of a host, but not on nearly all."""
+    body = "<div class=top>Site</div><article><p>All the same.</p><ul><li>one</li><li>two</li></ul><div>three</div></article>"
+    rows = [(k, "http://c.org/a", page(body)) for k in range(4)] + [(k, "http://d.org/a", page(body)) for k in range(10, 14)] + [(k, f"http://d.org/{k}", page(f"<article><p>Other {k}.</p></article>", k)) for k in (20, 21)]
+    got = texts(html_text.extract(pages(spark, rows)))
+    assert all(got[k] == "All the same.\none\ntwo\nthree" for k in (*range(4), *range(10, 14))) and got[20] == "Other 20."
+
+
 def test_names_of_wrappers_do_not_hide_the_article(spark):
     body = '<html><body class="nav-open"><div class="has-sidebar"><article><div class="post-header"><h1>T</h1></div><p>x</p><div class="share">tweet</div></article></div></body></html>'
     other = '<html><body><div class="page with-sidebar"><p>only text</p></div><form>no</form></body></html>'
