@@ -2,8 +2,8 @@
 
 The table is dealt by range of the identifier (ties by a hash of the text), so
 that shard after shard holds ascending keys and no hot key has to fit one task
-beyond its equal rows. Each task encodes its rows and writes one file under a
-name of its own attempt; the manifest, a table that Spark commits, names the
+beyond its equal rows. Each task encodes its rows and writes one file after
+another up to a bounded size, under names of its own attempt; the manifest, a table that Spark commits, names the
 files that count, so a lost executor leaves no half-written shard in use.
 
 A null identifier sorts first, a null text is empty, repeated identifiers each
@@ -21,6 +21,7 @@ import functools
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,10 @@ from .common import flat_words, scratch, small_batches, table
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQQ8s")  # index offset and size, filter offset and size, entries, ids, bytes of an id
 BLOCK_BYTES = 256 << 10
+#: A shard is closed at this size, or with so many entries.
+SHARD_BYTES, SHARD_ENTRIES = 256 << 20, 1 << 20
+#: Shards of a task are numbered from its own number times this.
+SHARDS_OF_TASK = 1 << 24
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 
 
@@ -194,33 +199,40 @@ def made_folder(path: str) -> str:
     return path
 
 
-MANIFEST = "shard int, path string, low binary, high binary, n_entries long, n_ids long"
+MANIFEST = "shard long, path string, low binary, high binary, n_entries long, n_ids long"
 
 
 def write_shards(df: DataFrame, folder: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and writes all texts; returns the manifest, one row for each shard."""
+    """Encodes and writes all texts; returns the manifest, one row for each shard, numbered in the order of keys."""
+    kinds = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("low", pa.binary()), ("high", pa.binary()), ("n_entries", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = word_encoder(vocabulary), None
+        encoder, writer, sink, path = word_encoder(vocabulary), None, None, ""
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        shard = TaskContext.get().partitionId()
-        path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
+        shard = TaskContext.get().partitionId() * SHARDS_OF_TASK
+
+        def finish() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            row = {"shard": shard, "path": path, "low": writer.keys[0], "high": writer.keys[-1], "n_entries": len(writer.keys), "n_ids": writer.n_ids}
+            return pa.RecordBatch.from_pylist([row], schema=kinds)
+
         for batch in small_batches(batches, text):
-            if writer is None:
-                made_folder(folder)
-                sink = opened(path, write=True)
-                writer = ShardWriter(sink, width)
             words, counts = flat_words(batch[text], lower=True)  # the tokenizer lowers letters and drops white space itself
             ids, sizes = encode_pieces(encoder, words, np.repeat(np.arange(len(counts)), counts), len(counts))
             ids, ends = ids.astype(f"<u{width}"), np.cumsum(sizes)
             end = np.array([end_id], ids.dtype).tobytes()
             for key, a, b in zip(batch[doc_id].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                if writer is None:
+                    path = f"{made_folder(folder)}/{shard:012d}-{uuid.uuid4().hex}.sst"
+                    sink = opened(path, write=True)
+                    writer = ShardWriter(sink, width)
                 writer.add(key_of(key), ids[a:b].tobytes() + end)
+                if writer.at >= SHARD_BYTES or len(writer.keys) >= SHARD_ENTRIES:
+                    yield finish()
+                    writer, shard = None, shard + 1
         if writer is not None:
-            writer.close()
-            sink.close()
-            row = {"shard": shard, "path": path, "low": writer.keys[0], "high": writer.keys[-1], "n_entries": len(writer.keys), "n_ids": writer.n_ids}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("low", pa.binary()), ("high", pa.binary()), ("n_entries", pa.int64()), ("n_ids", pa.int64())]))
+            yield finish()
 
     tie = F.xxhash64(text)
     dealt = df.select(F.col(doc_id).cast("long").alias(doc_id), text).repartitionByRange(doc_id, tie).sortWithinPartitions(F.asc_nulls_first(doc_id), tie, text)
@@ -261,12 +273,13 @@ def lookup(manifest: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> Da
 
     The key ranges, one row for each shard, go with the task; the wanted rows stay distributed.
     """
-    shards = [(r["shard"], r["path"], r["low"], r["high"]) for r in manifest.orderBy("shard").collect()]
-    paths = {number: path for number, path, _, _ in shards}
+    shards = manifest.orderBy("shard").collect()
+    paths, lows, highs = ([bytes(r[c]) if c != "path" else r[c] for r in shards] for c in ("path", "low", "high"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(number, k) for k in batch[doc_id].to_pylist() for number, _, low, high in shards if low <= key_of(k) <= high]
+            keys = [(k, key_of(k)) for k in batch[doc_id].to_pylist()]
+            pairs = [(n, k) for k, key in keys for n in range(bisect_left(highs, key), bisect_right(lows, key))]  # both lists ascend
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.int32()), pa.array([k for _, k in pairs], pa.int64())], names=["shard", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
