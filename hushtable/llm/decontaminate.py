@@ -34,6 +34,8 @@ from .common import small_batches, table
 EDITS = 0.1
 MOST_Q = 8
 BLOCK_BYTES = 8 << 20
+#: Shared q-grams that are looked at at once.
+SHARED_AT_ONCE = 4_000_000
 GAP = b"\xff" * MOST_Q
 _SCATTER, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
@@ -148,27 +150,42 @@ class Items:
             out.append(np.flatnonzero(bits[part >> np.uint64(64 - _BITS)]) + a)
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
+    def counted(self, at: np.ndarray, hit: np.ndarray, q: int, starts: np.ndarray, low: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of (text, item, band) and their shared q-grams; in pieces, as a gram that repeats in an item and in a text is shared often."""
+        _, first, item, place = self.index[q]
+        per = first[hit + 1] - first[hit]
+        ends, a, codes, counts = np.cumsum(per), 0, [], []
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SHARED_AT_ONCE, side="right")))
+            n = per[a:b]
+            posting = np.repeat(first[hit[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            places, items = np.repeat(at[a:b], n), item[posting]
+            doc = np.searchsorted(starts, places, side="right") - 1
+            band = (places - place[posting]) // (self.budgets[items] + 1)
+            pair = (doc * len(self.ids) + items) * span + band - low  # documents of a batch, items of a block and bands: far below 2**63
+            code, count = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
+            codes.append(code)
+            counts.append(count)
+            a = b
+        if len(codes) == 1:
+            return codes[0], counts[0]
+        code, back = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_inverse=True)
+        return code, np.bincount(back, weights=np.concatenate([np.empty(0, np.int64), *counts]), minlength=len(code)).astype(np.int64)
+
     def search(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(text, item, edits) for all items found in the texts."""
         data, starts = normalized(texts)
         codes = grams(data)
         out, near = [], self.candidates(codes)
-        for q, (distinct, first, item, place) in self.index.items():
+        for q, (distinct, *_) in self.index.items():
             at, own = near, codes[near] & mask_of(q)
             hit = np.searchsorted(distinct, own)
             hit[hit == len(distinct)] = 0
             true = distinct[hit] == own
             at, hit = at[true], hit[true]
-            per = first[hit + 1] - first[hit]
-            posting = np.repeat(first[hit] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-            at, items = np.repeat(at, per), item[posting]
-            doc = np.searchsorted(starts, at, side="right") - 1
-            step = self.budgets[items] + 1
-            band = (at - place[posting]) // step
-            low = int(band.min()) - 1 if len(band) else 0
-            span = int(band.max()) - low + 1 if len(band) else 1
-            pair = (doc * len(self.ids) + items) * span + band - low  # documents of a batch, items of a block and bands: far below 2**63
-            code, count = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
+            low = -int(self.lengths.max()) - 2
+            span = len(data) - low + 1
+            code, count = self.counted(at, hit, q, starts, low, span)
             rest, band = np.divmod(code, span)
             doc, items = np.divmod(rest, len(self.ids))
             key, begin = np.stack([doc, items, band + low]), np.arange(len(code))

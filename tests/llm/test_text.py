@@ -94,6 +94,16 @@ def test_shards(spark, table, docs, empty, nulls):
     assert [r["doc_id"] for r in rows] == [None, None, 5, 5, 6, 7, 7] and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_shards_of_bounded_size(spark, table, docs, monkeypatch):
+    whole = by_id(sstable.read_shards(sstable.write_shards(table, scratch(spark, "t"), WORD_BPE, 2)), "start", "ids")
+    monkeypatch.setattr(sstable, "SHARD_ENTRIES", 3)
+    manifest = sstable.write_shards(table, scratch(spark, "t"), WORD_BPE, 2)
+    assert manifest.count() >= len(docs) / 3 and manifest.agg({"n_entries": "max"}).first()[0] == 3
+    assert by_id(sstable.read_shards(manifest), "start", "ids") == whole
+    asked = table.select("doc_id").union(spark.createDataFrame([(-5,), (10**9,)], "doc_id long"))
+    assert by_id(sstable.lookup(manifest, asked), "ids") == {k: v[1:] for k, v in whole.items()}
+
+
 def test_shard_format(tmp_path):
     with open(tmp_path / "s", "wb") as f:
         w = sstable.ShardWriter(f, 2)
@@ -215,6 +225,16 @@ def test_decontamination(spark, empty, nulls):
     assert decontaminate.decontaminated(nulls, bench).count() == 7
 
 
+def test_grams_that_repeat_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    items = decontaminate.Items([1, 2, 3], ["ab" * 100, prose(rng, 30, 50), "a" * 150])
+    texts = pa.array([prose(rng, 40, 50) + " " + "a" * 4000 + " " + items.texts[1], None, "", "ba" * 2000, prose(rng, 60, 50)])
+    want = sorted(items.search(texts))
+    assert {(d, i) for d, i, _ in want} == {(0, 1), (0, 2), (3, 0)}
+    monkeypatch.setattr(decontaminate, "SHARED_AT_ONCE", 500)
+    assert sorted(items.search(texts)) == want
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
     rng = random.Random(6)
