@@ -1,10 +1,10 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model.
+"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs.
 
-A word's context is the last of the ``CONTEXTS`` most frequent words before it
-in its text (0 if there is none). Each context is a restaurant whose customers
-are the training tokens seen there; its tables are the customers of one parent
-restaurant that all contexts share, whose base is uniform over the V training
-words and one unknown word:
+A word's context is the word just before it in its text, whichever it is; the
+end token of the text before stands before the first word. Each context is a
+restaurant whose customers are the training tokens seen there; its tables are
+the customers of one parent restaurant that all contexts share, whose base is
+uniform over the V training words and one unknown word:
 
     P(w | u) = (c_uw - d t_uw + (theta + d T_u) P(w)) / (theta + c_u)
     P(w)     = (c_w - d' t_w + (theta' + d' T) / (V + 1)) / (theta' + c)
@@ -15,12 +15,16 @@ restaurant process (from the 65th on in blocks of an eighth of those seated),
 given the parent's current P(w) and the totals of the sweep before. The
 sampled P(w | u) of the last ``SAMPLES`` sweeps are averaged.
 
-All counts cover all training texts. State is keyed by word: the tokens are
-dealt once, in packed blocks by a hash of the word, and only the totals of the
-``CONTEXTS`` restaurants pass through the driver between sweeps. The ``HEAD``
-most frequent words, a bounded table, are counted and scored where the texts
-are, so no hot word is ever dealt to one task. Samples come from generators
-seeded by block and sweep, so a task that runs again gives the same result.
+All counts cover all training texts. Tokens are dealt once, in packed blocks by
+a hash of the word, so that all customers of a word are in one block. The
+``TOP`` most frequent words, a bounded table, are dealt by word and context
+instead, and pairs of two of them are counted and scored where the texts are:
+no hot word, context or pair lands in one task. Restaurants live in blocks of
+contexts: after each sweep a block of words sends one packed message to each
+block of contexts, with its share of each restaurant's tables, and gets the
+totals back. Only sums over the top words pass through the driver. Samples come
+from generators seeded by block and sweep, so a task that runs again gives the
+same result.
 
 Words are told apart by a 64-bit hash. A null or empty text has the end token
 only. Rows that share an identifier, also null, are one document of several
@@ -30,6 +34,7 @@ columns are left out.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,20 +43,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import flat_words, kept_table, mixed, small_batches, table, word_ids
+from .common import flat_words, give_back, kept_table, mixed, scratch, small_batches, table, word_ids
+from .sstable import made_folder, opened
 
-CONTEXTS, HEAD = 128, 1 << 15
+#: Words with a short code; words whose pairs are dealt apart. Both only decide how and where a pair is counted.
+HEAD, TOP = 1 << 15, 1 << 10
 SWEEPS, SAMPLES = 4, 2
-THETA, PARENT_THETA = 20.0, 20.0
-#: Counted words of a block of tokens, and the bounds of the number of blocks.
-BLOCK_TOKENS, FEWEST_BLOCKS, MOST_BLOCKS = 4_000_000, 16, 1 << 18
+THETA, PARENT_THETA, PARENT_DISCOUNT = 20.0, 20.0, 0.75
+#: Training tokens for each block, and the bounds of the number of blocks.
+BLOCK_TOKENS, FEWEST_BLOCKS, MOST_BLOCKS = 1_500_000, 16, 1 << 18
 #: A task deals its tokens once it holds so many for each block, or so many in all.
-DEALT_PER_BLOCK, DEALT_AT_MOST = 16, 1 << 22
-#: Fewest occurrences in a batch for a word to be considered for the head, which only decides where a word is counted.
-NOTED = 4
+DEALT_PER_BLOCK, DEALT_AT_MOST = 1024, 1 << 22
+#: A task adds up its counts of words once it holds so many.
+COUNTS_AT_ONCE = 1 << 21
 END = mixed(np.array([0x656E64], np.uint64))[0]
 NO_ID = -(1 << 63)
-HEAD_RANGES = 16
 
 
 def is_held_out(doc_id: str = "doc_id") -> F.Column:
@@ -78,125 +84,189 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
     return found
 
 
-def frequent_words(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of the head, the context number of each (0: none), and about how many tokens there are."""
+def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys and the sums of their values."""
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, *(np.bincount(back, weights=x, minlength=len(keys)) for x in values)
+
+
+def frequent_words(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the most frequent words, the rank of each (-1 from ``TOP`` on), its count, and the number of tokens. Counts are exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h, n = added(*map(np.concatenate, zip(*held, strict=True)))
+            return h, n.astype(np.int64)
+
+        def rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
         for batch in small_batches(batches, text):
             words, counts = flat_words(batch[text], lower=True)
             h, n = np.unique(word_ids(words), return_counts=True)
-            often = n >= NOTED
-            h, n = np.append(h[often], END), np.append(n[often], len(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    noted = kept_table(df.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent-words")
-    total = noted.agg(F.sum("n").alias("n")).first()["n"] or 0
+            held.append((np.append(h, END), np.append(n, len(counts))))
+            size += len(h) + 1
+            if size > COUNTS_AT_ONCE:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > COUNTS_AT_ONCE // 2:
+                    yield rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield rows(*summed())
+
+    counted = kept_table(df.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent-words")
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     end = int(END.view(np.int64))
-    top = [r["h"] for r in noted.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(HEAD - 1).collect()]
-    head = np.array([*top, end], np.int64).view(np.uint64)
-    number = np.zeros(len(head), np.uint8)
-    number[: min(CONTEXTS, len(top))] = np.arange(1, min(CONTEXTS, len(top)) + 1)
+    found = [(r["h"], r["n"]) for r in counted.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(HEAD - 1).collect()]
+    ends = counted.where(F.col("h") == end).first()
+    found.insert(0, (end, ends["n"] if ends else 0))
+    head = np.array([h for h, _ in found], np.int64).view(np.uint64)
+    rank = np.where(np.arange(len(head)) < TOP, np.arange(len(head)), -1)
     order = np.argsort(head)
-    return head[order], number[order], total
+    return head[order], rank[order], np.array([n for _, n in found], np.int64)[order], total
 
 
-def tokens(text: pa.Array, head: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hash, place in the head (-1: none), context and text of each token, ends included."""
+def places(head: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where the head has each hash (-1: nowhere)."""
+    place = np.searchsorted(head, h)
+    place[place == len(head)] = 0
+    return np.where(head[place] == h, place, -1)
+
+
+def tokens(text: pa.Array, head: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash and place in the head of each token, ends included, those of the token before, and the text of each."""
     words, counts = flat_words(text, lower=True)
     n, docs = len(words), len(counts)
-    of = np.repeat(np.arange(docs), counts)
     h = np.full(n + docs, END, np.uint64)
-    at = np.arange(n) + of
-    h[at] = word_ids(words)
-    whole = np.repeat(np.arange(docs), counts + 1)
-    place = np.searchsorted(head, h)
-    place[place == len(head)] = 0
-    place = np.where(head[place] == h, place, -1)
-    context = np.where(place >= 0, number[place], 0)
-    last = np.maximum.accumulate(np.where(context > 0, np.arange(n + docs), -1)) if n + docs else np.empty(0, np.int64)
-    before = np.concatenate([[-1], last[:-1]])
-    start = (np.cumsum(counts + 1) - counts - 1)[whole]
-    return h, place, np.where(before >= start, context[before], 0).astype(np.uint8), whole
+    h[np.arange(n) + np.repeat(np.arange(docs), counts)] = word_ids(words)
+    place = places(head, h)
+    before = lambda x, first: np.concatenate([[first], x[:-1]]).astype(x.dtype)
+    return h, place, before(h, END), before(place, places(head, np.array([END]))[0]), np.repeat(np.arange(docs), counts + 1)
+
+
+def coded(name: str, h: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """Words as places in the head; those without one are 65535, and their hashes follow apart."""
+    return {f"{name}_place": np.where(place < 0, 65535, place).astype(np.uint16), f"{name}_hash": h[place < 0]}
+
+
+def decoded(name: str, part: dict[str, np.ndarray], head: np.ndarray) -> np.ndarray:
+    place = part[f"{name}_place"]
+    far = place == 65535
+    h = head[np.where(far, 0, place)]
+    h[far] = part[f"{name}_hash"]
+    return h
+
+
+def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+
+
+def pair_key(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What a top word is dealt by."""
+    return mixed(h + mixed(before))
+
+
+def pieces(block: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The runs of some ascending block numbers: number, start and end."""
+    numbers, first = np.unique(block, return_index=True)
+    return zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True)
+
+
+#: A message to a block. FILES: where its pairs and tokens are; STATE: its seating; UP: tables for a block of contexts; ROUTE: where that has its contexts; DOWN: totals of contexts; STATS: sums for the driver; TOKENS and COUNTS: what is counted; SUMS: scores of documents.
+MESSAGE = "to int, kind int, frm int, data binary"
+FILES, STATE, UP, ROUTE, DOWN, STATS, TOKENS, COUNTS, SUMS = range(9)
+
+
+def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    to, kind, frm, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(frm, pa.int32()), pa.array(data, pa.binary())], names=["to", "kind", "frm", "data"])
 
 
-def counted(words: np.ndarray, of: np.ndarray, context: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """A block's training counts: its words (hashes), and word, context and count of each pair, in order."""
-    return {"words": words, "pair": of.astype(np.int64) * 256 + context, "n": n.astype(np.int64)}
+def delivered(df: DataFrame, blocks: int, work) -> DataFrame:
+    """Hands the messages to each block, in order, to ``work``, which gives messages."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, inbox = None, []
+        for batch in batches:
+            for to, kind, frm, data in zip(*(batch[c].to_pylist() for c in ("to", "kind", "frm", "data")), strict=True):
+                if to != now:
+                    if inbox:
+                        yield from map(messages, work(now, inbox))
+                    now, inbox = to, []
+                inbox.append((kind, frm, data))
+        if inbox:
+            yield from map(messages, work(now, inbox))
+        give_back()
+
+    return df.repartition(blocks, "to").sortWithinPartitions("to", "kind", "frm").mapInArrow(run, MESSAGE)
+
+
+def of_kind(inbox: list[tuple[int, int, bytes]], kind: int) -> list[bytes]:
+    return [data for k, _, data in inbox if k == kind]
+
+
+def written(folder: str, raw: bytes) -> bytes:
+    path = f"{made_folder(folder)}/{uuid.uuid4().hex}"
+    with opened(path, write=True) as sink:
+        sink.write(raw)
+    return path.encode()
 
-BLOCK = pa.schema([("head", pa.bool_()), ("block", pa.int32()), ("data", pa.binary())])
-PART = pa.schema([("head", pa.bool_()), ("block", pa.int32()), ("counts", pa.binary()), ("rows", pa.binary()), ("known", pa.int64()), ("train", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64())])
 
+def loaded(path: bytes) -> dict[str, np.ndarray]:
+    with opened(path.decode()) as source:
+        return unpacked(source.read())
 
-def dealt(df: DataFrame, head: np.ndarray, number: np.ndarray, blocks: int, doc_id: str, text: str) -> DataFrame:
-    """Training counts of all words and the tokens of the words that aren't in the head, by blocks of words."""
-    width = CONTEXTS + 1
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n_held = np.zeros(len(head) * width, np.int64), [], 0
+def dealt(df: DataFrame, shared, blocks: int, doc_id: str, text: str) -> DataFrame:
+    """All tokens but those of two top words, and the training counts of these, to the blocks of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, rank, _ = shared.value
+        width = int(rank.max()) + 1
+        top = head[np.flatnonzero(rank >= 0)[np.argsort(rank[rank >= 0])]]
+        seen, held, n_held = np.zeros(width * width, np.int64), [], 0
 
         def deal() -> pa.RecordBatch:
-            h, u, doc, train = map(np.concatenate, zip(*held, strict=True))
-            order = np.argsort(h)
-            h, u, doc, train = h[order], u[order], doc[order], train[order]
-            block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            numbers, first = np.unique(block, return_index=True)
-            data = [packed_arrays(h=h[a:b], u=u[a:b], doc=doc[a:b], train=train[a:b]) for a, b in zip(first, [*first[1:], len(h)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(data), bool)), pa.array(numbers.astype(np.int32)), pa.array(data, pa.binary())], schema=BLOCK)
+            key, h, at, u, u_at, doc, train = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(key)
+            key, h, at, u, u_at, doc, train = (x[order] for x in (key, h, at, u, u_at, doc, train))
+            rows = []
+            for block, a, b in pieces(block_of(key, blocks)):
+                docs, first, of = np.unique(doc[a:b], return_index=True, return_inverse=True)
+                data = packed_arrays(**coded("w", h[a:b], at[a:b]), **coded("u", u[a:b], u_at[a:b]), docs=docs, train=train[a:b][first], of=of.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32))
+                rows.append((block, TOKENS, 0, data))
+            return messages(rows)
 
         for batch in small_batches(batches, text):
-            h, place, u, of = tokens(batch[text], head, number)
+            h, at, u, u_at, of = tokens(batch[text], head)
             docs = pc.fill_null(batch[doc_id].cast(pa.int64()), NO_ID).to_numpy()
             train = ~batch["held_out"].to_numpy(zero_copy_only=False)[of]
-            own = (place >= 0) & train
-            seen += np.bincount(place[own] * width + u[own], minlength=len(seen))
-            rest = place < 0
-            held.append((h[rest], u[rest], docs[of[rest]], train[rest]))
-            n_held += len(held[-1][0])
+            r, s = (np.where(x >= 0, rank[x], -1) for x in (at, u_at))
+            both = (r >= 0) & (s >= 0)
+            own = both & train
+            seen += np.bincount(r[own] * width + s[own], minlength=len(seen))
+            rest = ~both
+            h, at, u, u_at, of, r, train = (x[rest] for x in (h, at, u, u_at, of, r, train))
+            key = h.copy()
+            key[r >= 0] = pair_key(h[r >= 0], u[r >= 0])
+            held.append((key, h, at, u, u_at, docs[of], train))
+            n_held += len(h)
             if n_held >= min(DEALT_PER_BLOCK * blocks, DEALT_AT_MOST):
                 yield deal()
                 held, n_held = [], 0
         if n_held:
             yield deal()
         at = np.flatnonzero(seen)
-        part = at // width * HEAD_RANGES // len(head)
-        for b in np.unique(part).tolist():
-            own = at[part == b]
-            yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([b], pa.int32()), pa.array([packed_arrays(at=own, n=seen[own])], pa.binary())], schema=BLOCK)
-
-    def row(is_head: bool, block: int, counts: dict[str, np.ndarray], rows: bytes) -> pa.RecordBatch:
-        n = counts["n"]
-        known = len(np.unique(counts["pair"] >> 8))
-        values = [is_head, block, packed_arrays(**counts), rows, known, int(n.sum()), int((n == 1).sum()), int((n == 2).sum())]
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, PART, strict=True)], schema=PART)
-
-    def finish(is_head: bool, block: int, data: list[bytes]) -> pa.RecordBatch:
-        parts = [unpacked(x) for x in data]
-        if is_head:
-            at, back = np.unique(np.concatenate([p["at"] for p in parts]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
-            place, of = np.unique(at // width, return_inverse=True)
-            return row(True, block, counted(head[place], of, at % width, n), b"")
-        h, u, doc, train = (np.concatenate([p[k] for p in parts]) for k in ("h", "u", "doc", "train"))
-        words, of = np.unique(h, return_inverse=True)
-        pair, n = np.unique(of[train].astype(np.int64) * 256 + u[train], return_counts=True)
-        return row(False, block, counted(words, pair >> 8, pair & 255, n), packed_arrays(of=of.astype(np.int32), u=u, doc=doc))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data = None, []
-        for batch in batches:
-            for is_head, block, raw in zip(*(batch[c].to_pylist() for c in ("head", "block", "data")), strict=True):
-                if (is_head, block) != now:
-                    if data:
-                        yield finish(*now, data)
-                    now, data = (is_head, block), []
-                data.append(raw)
-        if data:
-            yield finish(*now, data)
+        if len(at):
+            key = pair_key(top[at // width], top[at % width])
+            order = np.argsort(key)
+            at, to = at[order], block_of(key[order], blocks)
+            yield messages([(block, COUNTS, 0, packed_arrays(w=top[at[a:b] // width], u=top[at[a:b] % width], n=seen[at[a:b]])) for block, a, b in pieces(to)])
 
-    rows = df.select(doc_id, text, is_held_out(doc_id).alias("held_out")).mapInArrow(split, "head boolean, block int, data binary")
-    parts = rows.repartition("head", "block").sortWithinPartitions("head", "block")
-    return kept_table(parts.mapInArrow(gather, "head boolean, block int, counts binary, rows binary, known long, train long, ones long, twos long"), "word-blocks")
+    return df.select(doc_id, text, is_held_out(doc_id).alias("held_out")).mapInArrow(run, MESSAGE)
 
 
 def seated(n: np.ndarray, scale: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -214,71 +284,169 @@ def seated(n: np.ndarray, scale: np.ndarray, base: np.ndarray, d: float, rng: np
     return t
 
 
-def sampled(block: dict[str, np.ndarray], seed: int, totals: list[dict], fixed: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict]:
-    """Runs one sweep for each of ``totals``; gives (tables of each pair, P(w)) of each sweep and the block's part of the next totals."""
-    of, u, n = block["pair"] >> 8, block["pair"] & 255, block["n"]
-    size = len(block["words"])
-    t = np.minimum(n, 1)
-    parent = np.bincount(of, weights=t, minlength=size).astype(np.int64)
-    tables = np.minimum(parent, 1)
-    d, d0, unknown = fixed["d"], fixed["d0"], 1.0 / (fixed["known"] + 1)
-    samples = []
-    for sweep, total in enumerate(totals):
-        rng = np.random.default_rng([seed, sweep])
-        p = (parent - d0 * tables + (PARENT_THETA + d0 * total["T0"]) * unknown) / (PARENT_THETA + total["C0"])
-        t = seated(n, THETA + d * np.maximum(total["T"][u] - t, 0), p[of], d, rng)
-        parent = np.bincount(of, weights=t, minlength=size).astype(np.int64)
-        tables = seated(parent, PARENT_THETA + d0 * np.maximum(total["T0"] - tables, 0), np.full(size, unknown), d0, rng)
-        samples.append((t, parent, tables))
-    after = {"T": np.bincount(u, weights=t, minlength=CONTEXTS + 1), "C0": float(parent.sum()), "T0": float(tables.sum()), "c": np.bincount(u, weights=n, minlength=CONTEXTS + 1)}
-    return samples, after
-
-
-def seed_of(is_head: bool, block: int) -> int:
-    return zlib.crc32(b"%d %d" % (is_head, block))
-
-
-def predictive(samples: list, ends: list[dict], fixed: dict, at: np.ndarray, found: np.ndarray, of: np.ndarray, u: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The averaged P(w | u) of some (word, context); ``at`` is the pair's place where ``found``. ``ends``: the totals after each sweep."""
-    d, d0, unknown = fixed["d"], fixed["d0"], 1.0 / (fixed["known"] + 1)
-    out = np.zeros(len(of))
-    for (t, parent, tables), total in list(zip(samples, ends, strict=True))[-SAMPLES:]:
-        p = (parent - d0 * tables + (PARENT_THETA + d0 * total["T0"]) * unknown) / (PARENT_THETA + total["C0"])
-        own = np.zeros(len(of))
-        own[found] = n[at[found]] - d * t[at[found]]
-        out += (own + (THETA + d * total["T"][u]) * p[of]) / (THETA + fixed["c"][u])
-    return out / min(SAMPLES, len(ends))
-
-
-def lookup(pairs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(pairs):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-    return at, pairs[at] == wanted
-
-
-def learnt(parts: DataFrame) -> tuple[dict, list[dict]]:
-    """The model's constants, and the totals before each sweep and after the last."""
-    s = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "train", "ones", "twos"))).first()
-    discount = lambda a, b: min(0.95, max(0.05, (a + 1) / (a + 2 * b + 2)))
-    fixed = {"known": s["known"], "train": s["train"], "d": discount(s["ones"], s["twos"]), "d0": 0.75}
-    totals: list[dict] = []
-    for _ in range(SWEEPS + 1):
-
-        def run(batches: Iterator[pa.RecordBatch], totals: list[dict] = list(totals)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for is_head, block, raw in zip(*(batch[c].to_pylist() for c in ("head", "block", "counts")), strict=True):
-                    after = sampled(unpacked(raw), seed_of(is_head, block), totals, fixed)[1]
-                    values = np.concatenate([after["T"], after["c"], [after["C0"], after["T0"]]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["k", "v"])
-
-        sums = parts.select("head", "block", "counts").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
-        values, width = np.zeros(2 * (CONTEXTS + 1) + 2), CONTEXTS + 1
-        for r in sums.collect():  # a few hundred numbers
-            values[r["k"]] = r["v"]
-        totals.append({"T": values[:width], "C0": values[-2], "T0": values[-1]})
-        fixed["c"] = values[width : 2 * width]
-    return fixed, totals
+class Block:
+    """The pairs of a block of words (those of held-out texts with no customers) and their present seating."""
+
+    def __init__(self, pairs: dict[str, np.ndarray], top: np.ndarray):
+        self.words, self.contexts, self.u = pairs["words"], pairs["contexts"], pairs["u"].astype(np.int64)
+        self.of = np.cumsum(pairs["of_step"].astype(np.int64))
+        self.n, self.asked = pairs["n"].astype(np.int64), pairs["asked"].astype(np.int64)
+        order = np.argsort(top)
+        rank = lambda h: np.where((at := places(top[order], h)) >= 0, order[at], -1)
+        self.rank, self.context_rank = rank(self.words), rank(self.contexts)
+        self.top, self.width = self.rank >= 0, len(top)
+        self.t = np.minimum(self.n, 1)
+        self.count, self.parent = self.by_word(self.n), self.by_word(self.t)
+        self.tables = np.where(self.top, 0, np.minimum(self.parent, 1))
+        self.sum = np.zeros(0, np.float32)
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=x, minlength=len(self.words)).astype(np.int64)
+
+    def restore(self, state: dict[str, np.ndarray]) -> None:
+        self.t, self.tables, self.sum = state["t"].astype(np.int64), state["tables"].astype(np.int64), state["sum"]
+        self.parent = self.by_word(self.t)
+
+    def state(self) -> bytes:
+        small = lambda x: x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32)
+        return packed_arrays(t=small(self.t), tables=small(self.tables), sum=self.sum)
+
+    def p(self, total: dict, fixed: dict) -> np.ndarray:
+        """P(w) of each word; that of a top word, whose customers are in many blocks, comes from the driver."""
+        p = (self.parent - PARENT_DISCOUNT * self.tables + (PARENT_THETA + PARENT_DISCOUNT * total["T0"]) * fixed["unknown"]) / (PARENT_THETA + total["C0"])
+        p[self.top] = total["p_top"][self.rank[self.top]]
+        return p
+
+    def sweep(self, seed: list[int], tables: np.ndarray, total: dict, fixed: dict) -> None:
+        rng, d = np.random.default_rng(seed), fixed["d"]
+        self.t = seated(self.n, THETA + d * np.maximum(tables[self.u] - self.t, 0), self.p(total, fixed)[self.of], d, rng)
+        self.parent = self.by_word(self.t)
+        own = np.flatnonzero(~self.top)
+        scale = PARENT_THETA + PARENT_DISCOUNT * np.maximum(total["T0"] - self.tables[own], 0)
+        self.tables[own] = seated(self.parent[own], scale, np.full(len(own), fixed["unknown"]), PARENT_DISCOUNT, rng)
+
+    def predictive(self, customers: np.ndarray, tables: np.ndarray, total: dict, fixed: dict) -> np.ndarray:
+        """The sampled P(w | u) of each pair."""
+        d = fixed["d"]
+        return (self.n - d * self.t + (THETA + d * tables[self.u]) * self.p(total, fixed)[self.of]) / (THETA + customers[self.u])
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """This block's customers and tables in each of its contexts."""
+        return tuple(np.bincount(self.u, weights=x, minlength=len(self.contexts)).astype(np.int64) for x in (self.n, self.t))
+
+    def sent(self, block: int, blocks: int, first: bool) -> list[tuple[int, int, int, bytes]]:
+        customers, tables = self.shares()
+        small = lambda x: x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
+        rows = []
+        for to, a, b in pieces(block_of(self.contexts, blocks)):
+            more = {"h": self.contexts[a:b], "c": small(customers[a:b])} if first else {}
+            rows.append((to, UP, block, packed_arrays(T=small(tables[a:b]), **more)))
+        return [(block, STATE, 0, self.state()), *rows, (block, STATS, 0, packed_arrays(v=self.stats(customers, tables)))]
+
+    def stats(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """What the driver adds up: see ``totals_of``."""
+        by_rank = lambda r, x: np.bincount(r[r >= 0], weights=x[r >= 0], minlength=self.width)
+        sums = [self.parent.sum(), self.tables.sum(), (self.count[~self.top] > 0).sum(), self.n.sum(), (self.n == 1).sum(), (self.n == 2).sum()]
+        return np.concatenate([sums, by_rank(self.rank, self.parent), by_rank(self.context_rank, customers), by_rank(self.context_rank, tables)]).astype(np.float64)
+
+
+def gathered(df: DataFrame, shared, top: np.ndarray, blocks: int, folder: str) -> DataFrame:
+    """Counts the pairs of each block and keeps them and the tokens in files."""
+
+    def work(block: int, inbox: list) -> Iterator[list]:
+        head = shared.value[0]
+        parts, counts = [unpacked(x) for x in of_kind(inbox, TOKENS)], [unpacked(x) for x in of_kind(inbox, COUNTS)]
+        inbox.clear()
+        none = np.empty(0, np.uint64)
+        w, u = (np.concatenate([none, *(decoded(x, p, head) for p in parts), *(c[x] for c in counts)]) for x in ("w", "u"))
+        doc = np.concatenate([none.view(np.int64), *(p["docs"][p["of"]] for p in parts)])
+        train = np.concatenate([none.astype(bool), *(p["train"][p["of"]] for p in parts)])
+        n = np.concatenate([train.astype(np.int64), *(c["n"] for c in counts)])
+        parts = counts = None
+        words, of = np.unique(w, return_inverse=True)
+        contexts, u = np.unique(u, return_inverse=True)
+        pair, back = np.unique(of << 32 | u, return_inverse=True)
+        n = np.bincount(back, weights=n, minlength=len(pair)).astype(np.uint32)
+        back = back[: len(doc)]
+        of = pair >> 32
+        pairs = {"words": words, "contexts": contexts, "of_step": np.diff(of, prepend=0).astype(np.uint8), "u": (pair & 0xFFFFFFFF).astype(np.uint32), "n": n, "asked": np.bincount(back, minlength=len(pair)).astype(np.uint32)}
+        rows = packed_arrays(doc=doc[np.argsort(back, kind="stable")])
+        files = written(folder, packed_arrays(**pairs)) + b"\n" + written(folder, rows)
+        yield [(block, FILES, 0, files), *Block(pairs, top).sent(block, blocks, first=True)]
+
+    return kept_table(delivered(df, blocks, work), "word-blocks")
+
+
+def routed(df: DataFrame, blocks: int, folder: str) -> DataFrame:
+    """First totals of all contexts, and where each block of contexts has those of each block of words."""
+
+    def work(block: int, inbox: list) -> Iterator[list]:
+        frm, parts = [f for _, f, _ in inbox], [unpacked(x) for _, _, x in inbox]
+        h, at = np.unique(np.concatenate([p["h"] for p in parts]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([p["c"] for p in parts]), minlength=len(h)).astype(np.int64)
+        route = {"at": at.astype(np.uint32), "c": c, "size": np.array([len(p["h"]) for p in parts])}
+        path = written(folder, packed_arrays(**route))
+        yield [(block, ROUTE, 0, path), *answers(block, frm, parts, route)]
+
+    return kept_table(delivered(df.where(F.col("kind") == UP), blocks, work), "context-blocks")
+
+
+def answers(block: int, frm: list[int], parts: list[dict], route: dict[str, np.ndarray]) -> list[tuple[int, int, int, bytes]]:
+    at, c = route["at"], route["c"]
+    tables = np.bincount(at, weights=np.concatenate([p["T"] for p in parts]), minlength=len(c)).astype(np.int64)
+    ends = np.cumsum(route["size"]).tolist()
+    return [(f, DOWN, block, packed_arrays(c=c[at[a:b]], T=tables[at[a:b]])) for f, a, b in zip(frm, [0, *ends[:-1]], ends, strict=True)]
+
+
+def totalled(routes: DataFrame, sent: DataFrame, blocks: int) -> DataFrame:
+    """The totals of all contexts after a sweep, back to the blocks of words that have them."""
+
+    def work(block: int, inbox: list) -> Iterator[list]:
+        own = [(f, unpacked(x)) for k, f, x in inbox if k == UP]
+        yield answers(block, [f for f, _ in own], [p for _, p in own], loaded(of_kind(inbox, ROUTE)[0]))
+
+    return delivered(routes.where(F.col("kind") == ROUTE).union(sent.where(F.col("kind") == UP)), blocks, work)
+
+
+def opened_block(inbox: list, top: np.ndarray) -> tuple[Block, np.ndarray, np.ndarray, bytes]:
+    """A block as its last sweep left it, customers and tables in each of its contexts, and the path of its tokens."""
+    pairs, rows = of_kind(inbox, FILES)[0].split(b"\n")
+    block = Block(loaded(pairs), top)
+    block.restore(unpacked(of_kind(inbox, STATE)[0]))
+    down = [unpacked(x) for x in of_kind(inbox, DOWN)]
+    return block, np.concatenate([x["c"] for x in down]), np.concatenate([x["T"] for x in down]), rows
+
+
+def stats_of(sent: DataFrame, width: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = np.zeros(6 + 3 * width)
+        for batch in batches:
+            for raw in batch["data"].to_pylist():
+                v = v + unpacked(raw)["v"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], names=["k", "v"])
+
+    out = np.zeros(6 + 3 * width)
+    for r in sent.where(F.col("kind") == STATS).select("data").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # a few thousand numbers
+        out[r["k"]] = r["v"]
+    return out
+
+
+def model_of(stats: np.ndarray, top_count: np.ndarray) -> dict:
+    known, train, ones, twos = stats[2:6]
+    known = int(known + (top_count > 0).sum())
+    return {"known": known, "train": int(train), "d": min(0.95, max(0.05, (ones + 1) / (ones + 2 * twos + 2))), "unknown": 1.0 / (known + 1)}
+
+
+def totals_of(stats: np.ndarray, width: int, sweep: int, before: dict | None, fixed: dict) -> dict:
+    """The parent's totals, with the top words' dishes seated here, and customers and tables of the top contexts."""
+    parent, customers, tables = stats[6:].reshape(3, width)
+    at_top = np.minimum(parent, 1)
+    if before is not None:
+        scale = PARENT_THETA + PARENT_DISCOUNT * np.maximum(before["T0"] - before["at_top"], 0)
+        at_top = seated(parent.astype(np.int64), scale, np.full(width, fixed["unknown"]), PARENT_DISCOUNT, np.random.default_rng([0, sweep]))
+    total = {"C0": stats[0], "T0": stats[1] + float(at_top.sum()), "at_top": at_top, "customers": customers, "tables": tables}
+    total["p_top"] = (parent - PARENT_DISCOUNT * at_top + (PARENT_THETA + PARENT_DISCOUNT * total["T0"]) * fixed["unknown"]) / (PARENT_THETA + total["C0"])
+    return total
 
 
 def base_log(count: np.ndarray, fixed: dict) -> np.ndarray:
@@ -288,62 +456,101 @@ def base_log(count: np.ndarray, fixed: dict) -> np.ndarray:
 def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every document."""
     spark = df.sparkSession
-    head, number, total = frequent_words(df.where(~is_held_out(doc_id)), text)
-    blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, -(-total // BLOCK_TOKENS)))
-    parts = dealt(df, head, number, blocks, doc_id, text)
-    fixed, totals = learnt(parts)
-    before, ends, width = totals[:-1], totals[1:], CONTEXTS + 1
-
-    def head_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                own = unpacked(raw)
-                samples, _ = sampled(own, seed_of(True, block), before, fixed)
-                size = len(own["words"])
-                of, u = np.repeat(np.arange(size), width), np.tile(np.arange(width), size)
-                at, found = lookup(own["pair"], of * 256 + u)
-                p = np.log10(predictive(samples, ends, fixed, at, found, of, u, own["n"])).astype(np.float32)
-                count = np.bincount(own["pair"] >> 8, weights=own["n"], minlength=size).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([own["words"].tobytes()]), pa.array([count.tobytes()]), pa.array([p.tobytes()])], names=["words", "n", "p"])
-
-    log_p, count = np.zeros((len(head), width), np.float32), np.zeros(len(head), np.int64)
-    unseen = np.log10(np.mean([(THETA + fixed["d"] * e["T"]) / (THETA + fixed["c"]) * (PARENT_THETA + fixed["d0"] * e["T0"]) / (PARENT_THETA + e["C0"]) / (fixed["known"] + 1) for e in ends[-SAMPLES:]], axis=0))
-    log_p[:] = unseen
-    for r in parts.where("head").select("block", "counts").mapInArrow(head_table, "words binary, n binary, p binary").collect():  # the bounded head
-        at = np.searchsorted(head, np.frombuffer(r["words"], np.uint64))
-        log_p[at], count[at] = np.frombuffer(r["p"], np.float32).reshape(-1, width), np.frombuffer(r["n"], np.int64)
-    shared = spark.sparkContext.broadcast((head, number, log_p, count))
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-
-    def sums(doc: np.ndarray, base: np.ndarray, score: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        ids, back = np.unique(doc, return_inverse=True)
-        total = lambda x: np.bincount(back, weights=x, minlength=len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(back, minlength=len(ids))), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(score))], names=names)
-
-    def of_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, number, log_p, count = shared.value
+    head, rank, count, n = frequent_words(df.where(~is_held_out(doc_id)), text)
+    blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, -(-n // BLOCK_TOKENS)))
+    at_top = np.flatnonzero(rank >= 0)[np.argsort(rank[rank >= 0])]
+    top, top_count, width = head[at_top], count[at_top], len(at_top)
+    folder = scratch(spark, "pitman-yor")
+    shared = spark.sparkContext.broadcast((head, rank, count))
+    parts = gathered(dealt(df, shared, blocks, doc_id, text), shared, top, blocks, folder)
+    stats = stats_of(parts, width)
+    fixed = model_of(stats, top_count)
+    totals = [totals_of(stats, width, 0, None, fixed)]
+    routes = routed(parts, blocks, folder)
+    files, now, down = parts.where(F.col("kind") == FILES), parts, routes.where(F.col("kind") == DOWN)
+    inbox = lambda: files.union(now.where(F.col("kind") == STATE)).union(down)
+    for sweep in range(1, SWEEPS + 1):
+
+        def work(number: int, inbox: list, sweep: int = sweep, total: dict = totals[-1]) -> Iterator[list]:
+            block, customers, tables, _ = opened_block(inbox, top)
+            if sweep - 1 > SWEEPS - SAMPLES:
+                p = block.predictive(customers, tables, total, fixed).astype(np.float32)
+                block.sum = block.sum + p if len(block.sum) else p
+            block.sweep([zlib.crc32(b"%d" % number), sweep], tables, total, fixed)
+            yield block.sent(number, blocks, first=False)
+
+        now = kept_table(delivered(inbox(), blocks, work), "seating")
+        totals.append(totals_of(stats_of(now, width), width, sweep, totals[-1], fixed))
+        down = totalled(routes, now, blocks)
+    down = kept_table(down, "context-totals")
+    last, samples = totals[-1], totals[-SAMPLES:]
+
+    def averaged(inbox: list) -> tuple[Block, np.ndarray, bytes]:
+        block, customers, tables, rows = opened_block(inbox, top)
+        p = block.predictive(customers, tables, last, fixed)
+        return block, (p + (block.sum if len(block.sum) else 0)) / SAMPLES, rows
+
+    def top_pairs(number: int, inbox: list) -> Iterator[list]:
+        block, p, _ = averaged(inbox)
+        r, s = block.rank[block.of], block.context_rank[block.u]
+        own = (r >= 0) & (s >= 0)
+        yield [(0, COUNTS, number, packed_arrays(at=(r[own] * width + s[own]).astype(np.uint32), p=np.log10(p[own]).astype(np.float32)))]
+
+    unseen = [x["p_top"][:, None] * ((THETA + fixed["d"] * x["tables"]) / (THETA + x["customers"])) for x in samples]
+    log_p = np.log10(np.mean(unseen, axis=0)).astype(np.float32).reshape(-1)
+    for r in delivered(inbox(), blocks, top_pairs).select("data").collect():  # pairs of the bounded number of top words
+        own = unpacked(r["data"])
+        log_p[own["at"]] = own["p"]
+    of_top = spark.sparkContext.broadcast(log_p)
+
+    def sums(doc: np.ndarray, base: np.ndarray, score: np.ndarray, known: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        docs, n, known, base, score = added(doc, np.ones(len(doc)), known, base, score)
+        key = mixed(docs.astype(np.int64).view(np.uint64))
+        to = block_of(key, blocks)
+        order = np.argsort(to, kind="stable")
+        docs, n, known, base, score = docs[order], n[order].astype(np.uint32), known[order].astype(np.uint32), base[order], score[order]
+        return [(b, SUMS, 0, packed_arrays(doc=docs[x:y], n=n[x:y], known=known[x:y], base=base[x:y], score=score[x:y])) for b, x, y in pieces(to[order])]
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (head, rank, count), log_p = shared.value, of_top.value
         base = base_log(count, fixed)
         for batch in small_batches(batches, text):
-            _, place, u, of = tokens(batch[text], head, number)
+            _, at, _, u_at, of = tokens(batch[text], head)
             docs = pc.fill_null(batch[doc_id].cast(pa.int64()), NO_ID).to_numpy()
-            own = place >= 0
-            place, u, of = place[own], u[own], of[own]
-            yield sums(docs[of], base[place], log_p[place, u].astype(np.float64), count[place] > 0)
-
-    def of_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r, s = (np.where(x >= 0, rank[x], -1) for x in (at, u_at))
+            own = (r >= 0) & (s >= 0)
+            at = at[own]
+            if len(at):
+                yield messages(sums(docs[of[own]], base[at], log_p[r[own] * width + s[own]].astype(np.float64), count[at] > 0))
+
+    def of_pairs(number: int, inbox: list) -> Iterator[list]:
+        block, p, rows = averaged(inbox)
+        count = np.where(block.top, top_count[block.rank], block.count)[block.of]
+        doc, many = loaded(rows)["doc"], lambda x: np.repeat(x, block.asked)
+        if len(doc):
+            yield sums(doc, many(base_log(count, fixed)), many(np.log10(p)), many(count > 0))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[bytes]) -> pa.RecordBatch:
+            parts = [unpacked(x) for x in held]
+            docs, *values = added(*(np.concatenate([p[k] for p in parts]) for k in ("doc", "n", "known", "base", "score")))
+            return pa.RecordBatch.from_arrays([pa.array(docs), *(pa.array(x.astype(np.int64)) for x in values[:2]), *map(pa.array, values[2:])], names=names)
+
+        now, held = None, []
         for batch in batches:
-            for block, raw, tail in zip(*(batch[c].to_pylist() for c in ("block", "counts", "rows")), strict=True):
-                own, rows = unpacked(raw), unpacked(tail)
-                samples, _ = sampled(own, seed_of(False, block), before, fixed)
-                of, u = rows["of"].astype(np.int64), rows["u"].astype(np.int64)
-                at, found = lookup(own["pair"], of * 256 + u)
-                count = np.bincount(own["pair"] >> 8, weights=own["n"], minlength=len(own["words"]))
-                p = predictive(samples, ends, fixed, at, found, of, u, own["n"])
-                yield sums(rows["doc"], base_log(count, fixed)[of], np.log10(p), count[of] > 0)
-
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    both = df.select(doc_id, text).mapInArrow(of_head, schema).union(parts.where("not head").select("block", "counts", "rows").mapInArrow(of_rest, schema))
-    out = both.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in names[1:])).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+            for to, raw in zip(batch["to"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                if to != now and held:
+                    yield rows(held)
+                    held = []
+                now = to
+                held.append(raw)
+        if held:
+            yield rows(held)
+
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    both = df.select(doc_id, text).mapInArrow(of_texts, MESSAGE).union(delivered(inbox(), blocks, of_pairs))
+    out = both.repartition(blocks, "to").sortWithinPartitions("to").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return out.select("doc_id", is_held_out().alias("held_out"), "n_tokens", "n_known", F.lit(fixed["train"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

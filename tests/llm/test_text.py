@@ -297,3 +297,15 @@ def test_pitman_yor_beats_the_base_on_held_out_text(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [r for r in pitman_yor.scored(df).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_pitman_yor_takes_every_preceding_word_as_context(spark):
+    """More pairs than there were contexts: after each first word its own second word is likelier than another's."""
+    rng, pairs = random.Random(9), range(300)
+    train = [d for d in range(200) if zlib.crc32(str(d).encode()) % 5 != 1]
+    ask = [d for d in range(10_000, 20_000) if zlib.crc32(str(d).encode()) % 5 == 1][: 2 * len(pairs)]
+    texts = [" ".join(f"a{k} b{k}" for k in rng.sample(pairs, 60)) for _ in train]
+    asked = [f"a{k} b{k}" for k in pairs] + [f"a{k} b{(k + 1) % len(pairs)}" for k in pairs]
+    df = spark.createDataFrame([*zip(train, texts, strict=True), *zip(ask, asked, strict=True)], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in pitman_yor.scored(df).collect()}
+    assert all(score[ask[k]] > score[ask[k + len(pairs)]] + 0.5 for k in pairs)
