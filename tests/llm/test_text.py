@@ -309,3 +309,10 @@ def test_pitman_yor_takes_every_preceding_word_as_context(spark):
     df = spark.createDataFrame([*zip(train, texts, strict=True), *zip(ask, asked, strict=True)], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in pitman_yor.scored(df).collect()}
     assert all(score[ask[k]] > score[ask[k + len(pairs)]] + 0.5 for k in pairs)
+
+
+def test_pitman_yor_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, prose(rng, 12, 60)) for k in range(60)], "doc_id long, text string").cache()
+    one, many = (by_id(pitman_yor.scored(df.repartition(n)), "n_tokens", "n_known", "base_score", "score") for n in (1, 30))
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
