@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import small_batches, table
 
-#: Pieces that a worker remembers between batches.
-REMEMBERED = 150_000
+#: Text that a task looks at at once.
+PIECE_BYTES = 2 << 20
+#: Bytes of pieces and their ids that a worker remembers between batches, and what a remembered piece costs besides.
+REMEMBERED_BYTES, ENTRY_BYTES = 24 << 20, 200
 #: Marks after a Latin letter or a digit, at the end (U+0130 becomes a letter and a mark in lower case).
 FINAL_MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])[.,!#$%&*]+$"
 #: A space before any white space: such texts are encoded whole.
@@ -41,9 +43,11 @@ def byte_chars() -> list[str]:
 
 
 @functools.cache
-def load_ranks(path: str) -> dict[bytes, int]:
+def vocabulary_of(path: str) -> dict[str, int]:
+    """The tokens of a rank file in the characters of their bytes, and their ranks."""
+    chars = byte_chars()
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return {"".join(chars[b] for b in base64.b64decode(token)): int(rank) for token, rank in map(bytes.split, f)}
 
 
 @functools.cache
@@ -51,32 +55,37 @@ def load_tokenizer(path: str, pattern: str):
     """The tokenizers model of a rank file."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    ranks, chars = load_ranks(path), byte_chars()
-    shown = lambda raw: "".join(chars[b] for b in raw)
-    merges = [(shown(t[:i]), shown(t[i:])) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    model = models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-    tokenizer = Tokenizer(model)
+    ranks = vocabulary_of(path)
+    merges = [(t[:i], t[i:]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    tokenizer = Tokenizer(models.BPE(vocab=ranks, merges=merges, ignore_merges=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return tokenizer
 
 
 @functools.cache
-def token_bytes(path: str, pattern: str) -> list[bytes]:
-    """The bytes of each id, read back through the reversed byte table."""
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each id, through the reversed byte table; needs no model. Ids that the file leaves out have none."""
     reverse = {c: b for b, c in enumerate(byte_chars())}
-    vocab = load_tokenizer(path, pattern).get_vocab()
+    vocab = vocabulary_of(path)
     found = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         found[i] = bytes(reverse[c] for c in token)
-    return found
+    return pa.array(found, pa.large_binary())
+
+
+@functools.cache
+def token_facts(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The length of each id in bytes, and whether it begins within a character."""
+    table = token_bytes(path)
+    return pc.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64), np.array([x[:1] != b"" and x[0] & 0xC0 == 0x80 for x in table.to_pylist()], bool)
 
 
 class PieceEncoder:
-    """Encodes lists of distinct strings and remembers up to ``REMEMBERED`` of those that occur more than once in a batch."""
+    """Encodes lists of distinct strings and remembers those that occur more than once in a batch, up to ``REMEMBERED_BYTES``."""
 
     def __init__(self, tokenizer):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.held = tokenizer, {}, 0
 
     def __call__(self, pieces: list[str], occur: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one piece after another, and the number of ids of each piece."""
@@ -87,8 +96,9 @@ class PieceEncoder:
             part = new[a : a + 10_000]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False), strict=True):
                 found[k] = ids = array("I", e.ids).tobytes()
-                if occur[k] > 1 and len(known) < REMEMBERED and len(ids) < 128:
+                if occur[k] > 1 and self.held < REMEMBERED_BYTES and len(ids) < 128:
                     known[pieces[k]] = ids
+                    self.held += ENTRY_BYTES + len(pieces[k]) + len(ids)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), sizes
 
@@ -168,38 +178,56 @@ def char_spans(text: pa.Array, ids: np.ndarray, sizes: np.ndarray, lengths: np.n
     return opens[starts] - inside[starts] - base, opens[ends] - base
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
-    """The ``keep`` columns, ``ids`` (unsigned 32-bit little-endian, in a binary column) and, if asked for, ``starts`` and ``ends`` of the tokens in characters (signed 32-bit)."""
-    fields = [f for c in keep for f in df.schema.fields if f.name == c]
-    own = T.StructType([*fields, *(T.StructField(c, T.BinaryType()) for c in ("ids", "starts", "ends")[: 3 if offsets else 1])])
+def decode_runs(table: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of each run of ids: those of a run's tokens lie next to each other, so characters split between tokens come together again."""
+    taken = table.take(pa.array(ids.astype(np.int64)))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ends] if len(taken) else np.zeros(len(ends), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())
+
+
+def n_splits(splits: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """How many tokens of each run begin within a character."""
+    return pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=splits[ids], minlength=len(sizes)).astype(np.int64))
+
+
+def _kept(df: DataFrame, keep: tuple[str, ...], *own: T.StructField) -> T.StructType:
+    return T.StructType([*(f for c in keep for f in df.schema.fields if f.name == c), *own])
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """The ``keep`` columns, ``ids`` (unsigned 32-bit little-endian, in a binary column) and, if asked for, ``starts`` and ``ends``
+    of the tokens in characters (signed 32-bit), and ``decoded`` and ``n_split`` as of ``decode``, in the same pass."""
+    names = ["ids", *(["starts", "ends"] if offsets else []), *(["decoded"] if decoded else [])]
+    own = _kept(df, keep, *(T.StructField(c, T.BinaryType()) for c in names), *([T.StructField("n_split", T.LongType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary, pattern)
-        lengths = np.array([len(x) for x in token_bytes(vocabulary, pattern)], np.int64) if offsets else None
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, PIECE_BYTES):
             ids, sizes = encode_texts(encoder, batch[text])
             columns = [batch[c] for c in keep] + [packed(ids.astype("<u4"), sizes)]
             if offsets:
-                columns += [packed(x.astype("<i4"), sizes) for x in char_spans(batch[text], ids, sizes, lengths)]
+                columns += [packed(x.astype("<i4"), sizes) for x in char_spans(batch[text], ids, sizes, token_facts(vocabulary)[0])]
+            if decoded:
+                columns += [decode_runs(token_bytes(vocabulary), ids, sizes), n_splits(token_facts(vocabulary)[1], ids, sizes)]
             yield pa.RecordBatch.from_arrays(columns, names=own.names)
 
     return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, own)
 
 
-def decode(df: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+def decode(df: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The ``keep`` columns, ``decoded`` (the bytes of all ids) and ``n_split``: how many tokens begin within a character, whose bytes come together again here."""
-    fields = [f for c in keep for f in df.schema.fields if f.name == c]
-    own = T.StructType([*fields, T.StructField("decoded", T.BinaryType()), T.StructField("n_split", T.LongType())])
+    own = _kept(df, keep, T.StructField("decoded", T.BinaryType()), T.StructField("n_split", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(vocabulary, pattern)
-        splits = np.array([t[:1] != b"" and t[0] & 0xC0 == 0x80 for t in table], bool)
-        for batch in small_batches(batches, "ids"):
-            runs = [np.frombuffer(x or b"", "<u4") for x in batch["ids"].to_pylist()]
-            texts = [b"".join(map(table.__getitem__, x.tolist())) for x in runs]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.binary()), pa.array([int(splits[x].sum()) for x in runs], pa.int64())], names=own.names)
+        table, splits = token_bytes(vocabulary), token_facts(vocabulary)[1]
+        for batch in small_batches(batches, "ids", PIECE_BYTES):
+            raw = pc.fill_null(batch["ids"], b"")
+            sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            ids = np.frombuffer(b"".join(raw.to_pylist()), "<u4")
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), decode_runs(table, ids, sizes), n_splits(splits, ids, sizes)], names=own.names)
 
-    return df.select(*keep).mapInArrow(run, own)
+    return df.select(*dict.fromkeys((*keep, "ids"))).mapInArrow(run, own)
 
 
 def decoded_text(raw: bytes) -> str:
@@ -212,7 +240,7 @@ def tokenized(df: DataFrame) -> DataFrame:
     import public_tokenizers
 
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode(encode(df, vocabulary, pattern), vocabulary, pattern)
+    both = encode(df, vocabulary, pattern, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 

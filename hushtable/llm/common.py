@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
 #: Words are maximal runs of anything but space and the control characters x09-x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from collections import Counter, defaultdict
 
@@ -68,3 +69,35 @@ def unigrams(docs, held_out):
     count = Counter(x for d, w in tokens.items() if not held_out[d] for x in w)
     n, v = sum(count.values()), len(count)
     return {d: (len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) for d, w in tokens.items()}
+
+
+def ranks(path):
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+def plain_bytes(text):
+    return re.sub(rb"[\x00-\x7f]+", lambda m: re.sub(rb"[^a-z0-9]+", b" ", m[0]), (text or "").lower().encode())
+
+
+def fewest_edits(item, text):
+    """Between an item and any part of a text: the whole table of edit distances, row by row."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def close_items(docs, items, share):
+    """Edits of all items within their budget of some part of a document."""
+    out = {}
+    for d, t in docs:
+        text = plain_bytes(t)
+        for k, x in items:
+            body = plain_bytes(x).strip()
+            if body and (n := fewest_edits(body, text)) <= int(len(body) * share):
+                out[d, k] = n
+    return out

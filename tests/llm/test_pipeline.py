@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
-from hushtable.llm import byte_bpe, decontaminate, quality
+from hushtable.llm import decontaminate, quality
 
 from . import brute
 
@@ -44,7 +44,7 @@ def test_pipeline(spark):
     clean = {d: t for d, t in texts.items() if not any(i in re.sub(" +", " ", plain(t)) for i in items)}
     assert len(rows) > len(good) > len(single) and len(texts) > len(clean)
     tiktoken = pytest.importorskip("tiktoken")
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=brute.ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     want = {}
     for d, t in clean.items():
         ids = np.array(enc.encode_ordinary(t), "<u4").tobytes()
