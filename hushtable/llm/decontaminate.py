@@ -9,31 +9,41 @@ half, bands below the bound are dropped without loss, and the rest are verified
 by an alignment within the band. Short items use a smaller q, so that the bound
 stays positive.
 
-Items are a stated query set: blocks of at most ``BLOCK_BYTES`` are sent to the
-tasks, one pass over the documents for each block. Documents are never
-shuffled and each is held by its own task only, whatever its source or copies.
+Items are a stated query set: Spark writes them in blocks of at most
+``BLOCK_BYTES`` into the shared folder, and a task loads one block at a time, so
+neither the driver nor a task holds more than one. The documents are read once:
+with several blocks a task holds ``HELD_BYTES`` of text while it goes through
+them. Documents are never shuffled and each is held by its own task only,
+whatever its source or copies.
 
 A null or empty document or item is never found; repeated items and documents
 each have their rows; an empty table gives an empty table; further columns pass
-through ``decontaminated``.
+through ``decontaminated``. A very long document is looked at in pieces: a task
+needs about eight bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table
+from .common import scratch, small_batches, table
+from .sstable import made_folder, opened
 
 EDITS = 0.1
 MOST_Q = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Text that is searched at once, and text that a task holds while it goes through several blocks of items.
+PIECE_BYTES, HELD_BYTES = 1 << 20, 32 << 20
+#: Grams that are looked at at once; few, so that they stay in the cache.
+GRAMS_AT_ONCE = 1 << 16
 #: Shared q-grams that are looked at at once.
 SHARED_AT_ONCE = 4_000_000
 GAP = b"\xff" * MOST_Q
@@ -52,7 +62,8 @@ def normalized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     space = data == 0x20
     keep = np.ones(len(data), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    return data[keep], (np.cumsum(keep) - 1)[starts] if len(starts) else starts
+    before = np.add.reduceat(keep, np.append(0, starts), dtype=np.int64)  # kept bytes between one start and the next
+    return data[keep], np.cumsum(before)[:-1]
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -123,8 +134,8 @@ class Items:
                 body = self.bodies[i]
                 own = grams(np.concatenate([body, np.zeros(MOST_Q, np.uint8)]))[: len(body) - q + 1] & mask_of(q)
                 codes.append(own)
-                items.append(np.full(len(own), i))
-                places.append(np.arange(len(own)))
+                items.append(np.full(len(own), i, np.int32))
+                places.append(np.arange(len(own), dtype=np.int32))
             if codes:
                 code, item, place = map(np.concatenate, (codes, items, places))
                 order = np.argsort(code, kind="stable")
@@ -141,14 +152,15 @@ class Items:
             bits[((distinct & mask) * _SCATTER) >> np.uint64(64 - _BITS)] = True
         return mask, bits
 
-    def candidates(self, codes: np.ndarray) -> np.ndarray:
-        """The places whose gram may be one of an item; in pieces that stay in the cache."""
-        mask, bits = self.filter
-        out = []
-        for a in range(0, len(codes), 1 << 16):
-            part = (codes[a : a + (1 << 16)] & mask) * _SCATTER
-            out.append(np.flatnonzero(bits[part >> np.uint64(64 - _BITS)]) + a)
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+    def candidates(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places whose gram may be one of an item, and these grams."""
+        (mask, bits), at, codes = self.filter, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for a in range(0, len(data) - MOST_Q + 1, GRAMS_AT_ONCE):
+            own = grams(data[a : a + GRAMS_AT_ONCE + MOST_Q - 1])
+            good = np.flatnonzero(bits[((own & mask) * _SCATTER) >> np.uint64(64 - _BITS)])
+            at.append(good + a)
+            codes.append(own[good])
+        return np.concatenate(at), np.concatenate(codes)
 
     def counted(self, at: np.ndarray, hit: np.ndarray, q: int, starts: np.ndarray, low: int, span: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of (text, item, band) and their shared q-grams; in pieces, as a gram that repeats in an item and in a text is shared often."""
@@ -175,10 +187,9 @@ class Items:
     def search(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(text, item, edits) for all items found in the texts."""
         data, starts = normalized(texts)
-        codes = grams(data)
-        out, near = [], self.candidates(codes)
+        out, (near, codes) = [], self.candidates(data)
         for q, (distinct, *_) in self.index.items():
-            at, own = near, codes[near] & mask_of(q)
+            at, own = near, codes & mask_of(q)
             hit = np.searchsorted(distinct, own)
             hit[hit == len(distinct)] = 0
             true = distinct[hit] == own
@@ -207,49 +218,96 @@ class Items:
         return out
 
 
-def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Items]:
-    """The items in blocks whose size is bounded; a single longer item is a block of its own."""
+def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[str]:
+    """Writes the items in blocks of bounded size into the shared folder (a single longer item is a block of its own); returns the files."""
     size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
     total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-2 * total // BLOCK_BYTES))
-    marked = benchmark.select(item_id, text).withColumn("_block", F.pmod(F.xxhash64(item_id, text), F.lit(n)))
-    out = []
-    for k in range(n):
-        rows = marked.where(F.col("_block") == k).orderBy(item_id).collect()
-        if rows:
-            out.append(Items([r[item_id] for r in rows], [r[text] or "" for r in rows]))
-    return out
+    n, folder = max(1, -(-2 * total // BLOCK_BYTES)), scratch(benchmark.sparkSession, "items")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> pa.RecordBatch:
+            path = f"{made_folder(folder)}/{uuid.uuid4().hex}"
+            with opened(path, write=True) as sink, pa.ipc.new_stream(sink, held[0].schema) as out:
+                for x in held:
+                    out.write_batch(x)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+        now = None
+        for batch in batches:
+            block = batch["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and block[a] != now:
+                    yield close()
+                now = block[a]
+                held.append(batch.slice(a, b - a).select(["item", "text"]))
+        if held:
+            yield close()
+
+    marked = benchmark.where(size > 0).select(F.pmod(F.xxhash64(item_id, text), F.lit(n)).alias("block"), F.col(item_id).alias("item"), F.col(text).alias("text"))
+    rows = marked.repartition(min(n, 1024), "block").sortWithinPartitions("block", "item", "text").mapInArrow(written, "path string")
+    return sorted(r["path"] for r in rows.collect())  # names of files
+
+
+@lru_cache(1)
+def block_at(path: str) -> Items:
+    with opened(path) as source, pa.ipc.open_stream(source) as stream:
+        rows = stream.read_all()
+    return Items(rows["item"].to_pylist(), rows["text"].to_pylist())
+
+
+def searched(batches: Iterator[pa.RecordBatch], paths: list[str], text: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, object, int]]]]:
+    """Batches, each with the (row, item, edits) found in it; every block of items is loaded once for ``HELD_BYTES`` of text."""
+    held, size = [], 0
+
+    def out() -> Iterator[tuple[pa.RecordBatch, list[tuple[int, object, int]]]]:
+        found: list[list] = [[] for _ in held]
+        for path in paths:
+            items = block_at(path)
+            for own, batch in zip(found, held, strict=True):
+                own += [(d, items.ids[i], e) for d, i, e in items.search(batch[text])]
+        yield from zip(held, found, strict=True)
+        held.clear()
+
+    for batch in small_batches(batches, text, PIECE_BYTES):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch[text])).as_py() or 0
+        if len(paths) <= 1 or size >= HELD_BYTES:
+            yield from out()
+            size = 0
+    yield from out()
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id`` and ``edits`` of every item found in a document."""
     kinds = f"{doc_id} {df.schema[doc_id].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, edits long"
+    paths = blocks_of(benchmark)
 
-    def one(items: Items) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, text, 4 << 20):
-                found = items.search(batch[text])
-                if found:
-                    ids = batch[doc_id].take(pa.array([d for d, _, _ in found]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for _, i, _ in found]), pa.array([e for _, _, e in found], pa.int64())], names=[doc_id, "item_id", "edits"])
-
-        return df.select(doc_id, text).mapInArrow(run, kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in searched(batches, paths, text):
+            if found:
+                ids = batch[doc_id].take(pa.array([d for d, _, _ in found]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i, _ in found]), pa.array([e for _, _, e in found], pa.int64())], names=[doc_id, "item_id", "edits"])
 
-    return reduce(DataFrame.union, map(one, blocks_of(benchmark)), df.sparkSession.createDataFrame([], kinds))
+    return df.select(doc_id, text).mapInArrow(run, kinds)
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows in which no item is found, with the columns of the table."""
-    for items in blocks_of(benchmark):
+    paths = blocks_of(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, text, 4 << 20):
-                bad = np.zeros(batch.num_rows, bool)
-                bad[[d for d, _, _ in items.search(batch[text])]] = True
-                yield batch.filter(pa.array(~bad))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in searched(batches, paths, text):
+            bad = np.zeros(batch.num_rows, bool)
+            bad[[d for d, _, _ in found]] = True
+            yield batch.filter(pa.array(~bad))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

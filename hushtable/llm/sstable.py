@@ -3,11 +3,16 @@
 The table is dealt by range of the identifier (ties by a hash of the text), so
 that shard after shard holds ascending keys and no hot key has to fit one task
 beyond its equal rows. Each task encodes its rows and writes one file after
-another up to a bounded size, under names of its own attempt; the manifest, a table that Spark commits, names the
-files that count, so a lost executor leaves no half-written shard in use.
+another up to a bounded size, under names of its own attempt; the manifest, a
+table that Spark commits, names the files that count, so a lost executor leaves
+no half-written shard in use.
+
+Texts are encoded as the tokenizers library encodes them whole: strings of its
+special tokens in a text become these tokens, unless ``special_as_text``.
 
 A null identifier sorts first, a null text is empty, repeated identifiers each
 have an entry, an empty table has no shard, and further columns are left out.
+A very long text is one entry of a block of its own, held by its task alone.
 
 File: blocks | index | Bloom filter | footer (last 64 bytes).
 Entry: shared prefix length, rest length, value length (varints), rest, value.
@@ -18,6 +23,8 @@ Index: for each block its first key (17 bytes), offset and size (unsigned 64 bit
 from __future__ import annotations
 
 import functools
+import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -26,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -39,6 +47,8 @@ BLOCK_BYTES = 256 << 10
 SHARD_BYTES, SHARD_ENTRIES = 256 << 20, 1 << 20
 #: Shards of a task are numbered from its own number times this.
 SHARDS_OF_TASK = 1 << 24
+#: Writing tasks whose shards a lookup finds together.
+TASKS_OF_GROUP = 64
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 
 
@@ -72,7 +82,8 @@ def id_of(key: bytes) -> int | None:
 
 
 def probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+    b |= 1
     return [(a + i * b) % bits for i in range(BLOOM_PROBES)]
 
 
@@ -178,23 +189,57 @@ def word_encoder(vocabulary: str) -> PieceEncoder:
     """One for each worker, as it remembers words from task to task."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(tokenizer)
+    return PieceEncoder(Tokenizer.from_file(vocabulary))
+
+
+@functools.cache
+def special_strings(vocabulary: str) -> str:
+    """A pattern of the special tokens' strings."""
+    added = word_encoder(vocabulary).tokenizer.get_added_tokens_decoder().values()
+    return "|".join(re.escape(t.content) for t in added if t.special)
+
+
+def encode_words(vocabulary: str, text: pa.Array, special_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and the number of ids of each.
+
+    Words are encoded apart, as the tokenizer lowers letters and drops white space itself. A text with a
+    special token's string is encoded whole, as the library looks for these before it lowers anything.
+    """
+    encoder, special = word_encoder(vocabulary), special_strings(vocabulary)
+    encoder.tokenizer.encode_special_tokens = True
+    text = pc.fill_null(text, "")
+    whole = np.zeros(len(text), bool)
+    if special and not special_as_text:
+        whole = pc.match_substring_regex(text, special).to_numpy(zero_copy_only=False)
+    words, counts = flat_words(pc.if_else(pa.array(whole), "", text) if whole.any() else text, lower=True)
+    ids, sizes = encode_pieces(encoder, words, np.repeat(np.arange(len(counts)), counts), len(counts))
+    if not whole.any():
+        return ids, sizes
+    encoder.tokenizer.encode_special_tokens = False
+    found = [np.array(encoder.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in text.filter(pa.array(whole)).to_pylist()]
+    ends, parts, given = np.cumsum(sizes), [], iter(found)
+    for k, own in enumerate(whole.tolist()):
+        parts.append(next(given) if own else ids[ends[k] - sizes[k] : ends[k]])
+    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def uri(path: str) -> str:
+    """The URI by which pyarrow knows a store that Hadoop names otherwise."""
+    return re.sub(r"^s3[an]://", "s3://", path)
 
 
 def opened(path: str, write: bool = False):
     """A file in any store that pyarrow knows, by its URI."""
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = fs.FileSystem.from_uri(uri(path))
     return store.open_output_stream(at, compression=None) if write else store.open_input_file(at)
 
 
 def made_folder(path: str) -> str:
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = fs.FileSystem.from_uri(uri(path))
     store.create_dir(at, recursive=True)
     return path
 
@@ -202,13 +247,13 @@ def made_folder(path: str) -> str:
 MANIFEST = "shard long, path string, low binary, high binary, n_entries long, n_ids long"
 
 
-def write_shards(df: DataFrame, folder: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(df: DataFrame, folder: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = False) -> DataFrame:
     """Encodes and writes all texts; returns the manifest, one row for each shard, numbered in the order of keys."""
     kinds = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("low", pa.binary()), ("high", pa.binary()), ("n_entries", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, sink, path = word_encoder(vocabulary), None, None, ""
-        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        writer, sink, path = None, None, ""
+        width = 2 if max(word_encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         shard = TaskContext.get().partitionId() * SHARDS_OF_TASK
 
         def finish() -> pa.RecordBatch:
@@ -218,8 +263,7 @@ def write_shards(df: DataFrame, folder: str, vocabulary: str, end_id: int, doc_i
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
         for batch in small_batches(batches, text):
-            words, counts = flat_words(batch[text], lower=True)  # the tokenizer lowers letters and drops white space itself
-            ids, sizes = encode_pieces(encoder, words, np.repeat(np.arange(len(counts)), counts), len(counts))
+            ids, sizes = encode_words(vocabulary, batch[text], special_as_text)
             ids, ends = ids.astype(f"<u{width}"), np.cumsum(sizes)
             end = np.array([end_id], ids.dtype).tobytes()
             for key, a, b in zip(batch[doc_id].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
@@ -271,27 +315,30 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The entries of some identifiers, each asked of the shards whose key range holds it.
 
-    The key ranges, one row for each shard, go with the task; the wanted rows stay distributed.
+    Only the key ranges of groups of ``TASKS_OF_GROUP`` writing tasks go with the tasks that find the groups of
+    the wanted rows; a join by group finds the shards, so neither rows nor paths pass through the driver.
     """
-    shards = manifest.orderBy("shard").collect()
-    paths, lows, highs = ([bytes(r[c]) if c != "path" else r[c] for r in shards] for c in ("path", "low", "high"))
+    group = F.expr(f"shard div {SHARDS_OF_TASK * TASKS_OF_GROUP}").alias("group")
+    ranges = manifest.groupBy(group).agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("group").collect()
+    numbers, lows, highs = [r["group"] for r in ranges], [bytes(r["low"]) for r in ranges], [bytes(r["high"]) for r in ranges]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [(k, key_of(k)) for k in batch[doc_id].to_pylist()]
-            pairs = [(n, k) for k, key in keys for n in range(bisect_left(highs, key), bisect_right(lows, key))]  # both lists ascend
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.int32()), pa.array([k for _, k in pairs], pa.int64())], names=["shard", "doc_id"])
+            rows = [(numbers[n], key, k) for k, key in keys for n in range(bisect_left(highs, key), bisect_right(lows, key))]  # both lists ascend
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["group", "key", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, own in batch.to_pandas().groupby("shard")["doc_id"]:
-                with opened(paths[number]) as source:
+            for path, own in batch.to_pandas().groupby("path")["doc_id"]:
+                with opened(path) as source:
                     shard = Shard(source)
                     rows = [(k, ids.astype("<u4").tobytes()) for k in own.tolist() for ids in shard.get(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "ids"])
 
     asked = wanted.select(F.col(doc_id).cast("long").alias(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
-    return asked.mapInArrow(assign, "shard int, doc_id long").repartition("shard", F.pmod("doc_id", F.lit(16))).mapInArrow(run, "doc_id long, ids binary")
+    found = asked.mapInArrow(assign, "group long, key binary, doc_id long").join(manifest.select(group, "path", "low", "high"), "group").where("key >= low and key <= high")
+    return found.select("path", "doc_id").repartition("path", F.pmod("doc_id", F.lit(16))).sortWithinPartitions("path").mapInArrow(run, "doc_id long, ids binary")
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:

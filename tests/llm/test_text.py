@@ -44,7 +44,7 @@ def test_quality_is_native(table):
 
 def test_byte_bpe(table, docs, empty, nulls):
     tiktoken = pytest.importorskip("tiktoken")
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=brute.ranks(RANKS), special_tokens={})
     got = by_id(byte_bpe.tokenized(table), "n_tokens", "ids_sha256", "decoded_sha256")
     for d, t in docs:
         ids = np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()
@@ -55,7 +55,7 @@ def test_byte_bpe(table, docs, empty, nulls):
 
 def test_byte_bpe_hard_texts():
     tiktoken = pytest.importorskip("tiktoken")
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=brute.ranks(RANKS), special_tokens={})
     rng = random.Random(2)
     hard = ["".join(rng.choice("aA .,!\n\t's日本😀é \x85<|endoftext|>=") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     ids, sizes = byte_bpe.encode_texts(byte_bpe.encoder_of(RANKS, P.PATTERN), pa.array(hard))
@@ -67,12 +67,15 @@ def test_byte_bpe_offsets_and_split_characters(spark):
     rows = spark.createDataFrame([(0, "héllo 日本語 😀 x"), (1, None), (2, "ab")], "doc_id long, text string")
     for r in byte_bpe.encode(rows, RANKS, P.PATTERN, keep=("doc_id", "text"), offsets=True).collect():
         ids, starts, ends = (np.frombuffer(r[c], "<i4") for c in ("ids", "starts", "ends"))
-        table, text, at = byte_bpe.token_bytes(RANKS, P.PATTERN), r["text"] or "", 0
+        table, text, at = byte_bpe.token_bytes(RANKS).to_pylist(), r["text"] or "", 0
         for i, a, b in zip(ids, starts, ends, strict=True):
             part = text.encode()[at : at + len(table[i])]
             assert table[i] == part and part in text[a:b].encode() and b - a <= max(1, len(part))
             at += len(part)
         assert at == len(text.encode())
+    apart = byte_bpe.decode(byte_bpe.encode(rows, RANKS, P.PATTERN), RANKS)
+    at_once = byte_bpe.encode(rows, RANKS, P.PATTERN, decoded=True)
+    assert by_id(apart, "decoded", "n_split") == by_id(at_once, "decoded", "n_split") and by_id(apart, "decoded")[0][0].decode() == "héllo 日本語 😀 x"
     assert byte_bpe.decoded_text("日".encode()[:2]) == "�"
 
 
@@ -94,6 +97,19 @@ def test_shards(spark, table, docs, empty, nulls):
     assert [r["doc_id"] for r in rows] == [None, None, 5, 5, 6, 7, 7] and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_special_tokens_in_texts_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y<|startoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "plain words", None, "", "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = by_id(sstable.read_shards(sstable.write_shards(df, scratch(spark, "t"), WORD_BPE, 2)), "ids")
+    assert [np.frombuffer(got[k][0], "<u4").tolist() for k in range(len(texts))] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    tokenizer.encode_special_tokens = True
+    got = by_id(sstable.read_shards(sstable.write_shards(df, scratch(spark, "t"), WORD_BPE, 2, special_as_text=True)), "ids")
+    assert [np.frombuffer(got[k][0], "<u4").tolist() for k in range(len(texts))] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_shards_of_bounded_size(spark, table, docs, monkeypatch):
     whole = by_id(sstable.read_shards(sstable.write_shards(table, scratch(spark, "t"), WORD_BPE, 2)), "start", "ids")
     monkeypatch.setattr(sstable, "SHARD_ENTRIES", 3)
@@ -241,8 +257,42 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(k, prose(rng, 20, 800)) for k in range(15)]
     df = spark.createDataFrame([(k, f"{prose(rng, 50)} {t} {prose(rng, 50)}") for k, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 2000)
     assert len(decontaminate.blocks_of(bench)) > 5
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()} == {(k, k) for k in range(15)}
+    assert decontaminate.decontaminated(df, bench).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    """All items against all documents of a small table, by the least edits over all parts of the document."""
+    rng = random.Random(12)
+    items = [(k, prose(rng, rng.randint(3, 25), 800)) for k in range(25)] + [(25, "aaaa aaaa aaaa"), (26, "ab"), (27, "Zeit! und RAUM"), (28, "ééé ßß")]
+    docs = []
+    for d in range(60):
+        text = prose(rng, rng.randint(0, 120), 800)
+        if d % 2:
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, max(1, len(part) // 8))):  # some within the budget, some beyond
+                p = rng.randrange(len(part))
+                part[p : p + rng.randint(0, 1)] = rng.choice(["", "q", "zz", "é"])
+            cut = rng.randint(0, len(text))
+            text = f"{text[:cut]} {''.join(part)} {text[cut:]}"
+        docs.append((d, text))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(df, bench).collect()}
+    want = brute.close_items(docs, items, decontaminate.EDITS)
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(want[k] <= got[k] for k in got)
+
+
+def test_long_documents_are_searched_whole(monkeypatch):
+    rng = random.Random(13)
+    items = decontaminate.Items([1, 2], [prose(rng, 30, 800), prose(rng, 30, 800)])
+    text = f"{prose(rng, 40_000, 800)} {items.texts[0]} {'.' * 100_000} {prose(rng, 40_000, 800)} {items.texts[1].replace(' ', ' ,,, ' * 2000, 1)}"
+    want = [(0, 0, 0), (0, 1, 0)]
+    assert sorted(items.search(pa.array([text]))) == want
+    monkeypatch.setattr(decontaminate, "GRAMS_AT_ONCE", 100)
+    assert sorted(items.search(pa.array([text]))) == want
 
 
 def test_pitman_yor(spark, table, docs, empty):
