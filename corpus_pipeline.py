@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_level_bpe", byte_level_bpe),
 ]
 
-#: Near-dedup components, substring windows and BPE can't be put in SQL; tests/llm compares the stages with brute force.
+#: BPE can't be put in SQL, and the stages before it would be too slow there on whole tables; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ import time
 from dataclasses import dataclass, field
 from enum import IntEnum
 
-from .errors import InvalidArgument, PermissionDenied, ResourceExhausted
+from .errors import FailedPrecondition, InvalidArgument, PermissionDenied, ResourceExhausted
 
 GLOBAL_SHARE = 64
 
@@ -60,13 +60,25 @@ class Bucket:
 
 
 class Gate:
-    """Authenticates, checks the role, then the principal's and the common rate."""
+    """Authenticates, checks the role, then the principal's and the common rate.
 
-    def __init__(self, tokens: list[tuple[Principal, str]] | None = None, rate: float = 2000, burst: float = 2000, clock=time.monotonic):
+    Without tokens anyone may query, and nobody may administer; that has to be asked for by ``insecure``.
+    """
+
+    def __init__(self, tokens: list[tuple[Principal, str]] | None = None, rate: float = 2000, burst: float = 2000, clock=time.monotonic, insecure: bool = False):
+        if tokens is None and not insecure:
+            raise FailedPrecondition("a gate without tokens is open to anyone: ask for it by insecure=True")
         self.tokens, self.rate, self.burst, self.clock = tokens, rate, burst, clock
         self.own: dict[str, Bucket] = {}
         self.common = Bucket(rate * GLOBAL_SHARE, burst * GLOBAL_SHARE)
 
+    @property
+    def mode(self) -> str:
+        return "none" if self.tokens is None else "token"
+
+    def principals(self) -> list[str]:
+        return sorted({p.name for p, _ in self.tokens or []})
+
     def admit(self, token: str | None, level: Level) -> Principal:
         if self.tokens is None:
             who = ANONYMOUS

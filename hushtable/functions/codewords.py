@@ -49,8 +49,12 @@ def codeword(column: str, kind: Kind, key_bits: int = KEY_BITS) -> Column:
     if key_bits > 40:
         raise OutOfRange("text codewords have 40 bits at most")
     mask = (1 << key_bits) - 1
-    code_units = F.transform(F.sequence(F.lit(1), F.length(F.hex(F.encode(c, "UTF-8"))), F.lit(2)), lambda i: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), i, F.lit(2)), 16, 10).cast("long"))
-    hashed = F.aggregate(code_units, F.lit(FNV_BASIS & mask).cast("long"), lambda h, b: (h.bitwiseXOR(b) * (FNV_PRIME & mask)).bitwiseAND(F.lit(mask).cast("long")))
+    def hashed_bytes(digits: Column) -> Column:
+        code_units = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
+        return F.aggregate(code_units, F.lit(FNV_BASIS & mask).cast("long"), lambda h, b: (h.bitwiseXOR(b) * (FNV_PRIME & mask)).bitwiseAND(F.lit(mask).cast("long")))
+
+    # an array of one binds the digits, so that they are made once and not for every byte
+    hashed = F.get(F.transform(F.array(F.hex(F.encode(c, "UTF-8"))), hashed_bytes), F.lit(0))
     return F.when(c == "", F.lit(FNV_BASIS & mask).cast("long")).otherwise(hashed)
 
 
@@ -80,6 +84,15 @@ def ring(nodes: list[str]) -> tuple[list[int], list[str]]:
     return [p for p, _ in points], [n for _, n in points]
 
 
+def shard_map_text(nodes: list[str]) -> str:
+    """The nodes of a ring as text: sorted, each once, one a line."""
+    return "\n".join(sorted(set(nodes)))
+
+
+def shard_map_nodes(text: str) -> list[str]:
+    return sorted({line.strip() for line in text.splitlines()} - {""})
+
+
 def ring_owner(key: str, points: list[int], owners: list[str]) -> str:
     return owners[bisect.bisect_left(points, fnv(key.encode(), RING_BASIS)) % len(points)]
 

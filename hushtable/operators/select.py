@@ -1,13 +1,15 @@
 """Exact lookups: the predicate goes to the scan, then projection, DISTINCT, order, OFFSET and LIMIT over all matches.
 
 ``rid``, the storage order of the rows, breaks ties and orders what no ORDER BY
-orders, so results don't depend on how Spark deals the rows.
+orders, so results don't depend on how Spark deals the rows. A request for all
+matches in no order (``limit=None``) is not sorted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..names import fresh
 from ..plans.lookup import Lookup, check, check_where, predicate
 from ..plans.schema import TableSchema
 
@@ -22,15 +24,17 @@ def presented(df: DataFrame, lookup: Lookup, schema: TableSchema, rid: str) -> D
     sources = list(dict.fromkeys(s for s, _ in shown))
     orders = lookup.orders()
     # the KEY may be the storage order itself, so what is sorted by gets names of its own
-    rows = df.select(*sources, *(F.col(c).alias(f"_order{k}") for k, (c, _) in enumerate(orders)), F.col(rid).alias("_rid"))
+    place, *names = fresh(df, "rid", *(f"order{k}" for k in range(len(orders))))
+    rows = df.select(*sources, *(F.col(c).alias(n) for n, (c, _) in zip(names, orders, strict=True)), F.col(rid).alias(place))
     if lookup.distinct:
-        first = [F.min_by(f"_order{k}", "_rid").alias(f"_order{k}") for k in range(len(orders))]
-        rows = rows.groupBy(*sources).agg(*first, F.min("_rid").alias("_rid"))
-    keys = [F.desc(f"_order{k}") if down else F.asc(f"_order{k}") for k, (_, down) in enumerate(orders)]
-    rows = rows.orderBy(*keys, F.asc("_rid"))
+        rows = rows.groupBy(*sources).agg(*(F.min_by(n, place).alias(n) for n in names), F.min(place).alias(place))
+    if orders or lookup.offset or lookup.limit is not None:
+        rows = rows.orderBy(*(F.desc(n) if down else F.asc(n) for n, (_, down) in zip(names, orders, strict=True)), F.asc(place))
     if lookup.offset:
         rows = rows.offset(lookup.offset)
-    return rows.limit(lookup.limit).select(*(F.col(s).alias(name) for s, name in shown))
+    if lookup.limit is not None:
+        rows = rows.limit(lookup.limit)
+    return rows.select(*(F.col(s).alias(name) for s, name in shown))
 
 
 def select(df: DataFrame, lookup: Lookup, schema: TableSchema, rid: str | None = None, strict: bool = True) -> DataFrame:

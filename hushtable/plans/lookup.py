@@ -7,7 +7,7 @@ an extension that ``strict=False`` allows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -71,9 +71,8 @@ class Lookup:
     where: Any = None
     distinct: bool = False
     order_by: tuple[str | tuple[str, str], ...] = ()
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = DEFAULT_LIMIT  # None: all
     offset: int = 0
-    tie_break: tuple[str, ...] = field(default=())
 
     def projected(self, schema: TableSchema) -> list[tuple[str, str]]:
         """(source, shown name) of each column; ``*`` is all but the KEY."""
@@ -87,7 +86,7 @@ class Lookup:
 
 
 def check_window(lookup: Lookup) -> None:
-    if not isinstance(lookup.limit, int) or lookup.limit < 1:
+    if lookup.limit is not None and (not isinstance(lookup.limit, int) or lookup.limit < 1):
         raise InvalidArgument("LIMIT is at least 1")
     if not isinstance(lookup.offset, int) or lookup.offset < 0:
         raise InvalidArgument("OFFSET is at least 0")

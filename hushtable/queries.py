@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.codewords import codeword, first_bucket, record_bytes
+from .functions.codewords import FNV_PRIME, RING_BASIS, VIRTUAL_NODES, codeword, first_bucket, record_bytes
+from .names import scratch
 from .operators import bucketed, select, shards
 from .plans.lookup import Lookup, both, compare, either, eq, ne, one_of
 from .plans.schema import Kind, TableSchema
@@ -84,6 +84,19 @@ def presence_sql(table: str, column: str, key: str, where: str) -> str:
     return f"SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS cnt FROM ({placed_sql(table, column, key, where, key)}) GROUP BY bucket"
 
 
+def fnv64(column: str, basis: int = RING_BASIS) -> str:
+    return f"list_reduce(list_concat([{basis}::UHUGEINT], list_transform(range(1, length({column}) + 1), lambda i: ord(substr({column}, i, 1))::UHUGEINT)), lambda h, b: (xor(h, b) * {FNV_PRIME}::UHUGEINT) % {U})"
+
+
+def owner_sql(table: str, key: str) -> str:
+    """The rows of a table with ``owner``: the node of the first point of the ring at or after the hash of the key."""
+    nodes = ", ".join(f"('{n}')" for n in NODES)
+    return f"""
+WITH points AS (SELECT {fnv64("s")} AS p, node FROM (SELECT node, node || '#' || v AS s FROM (VALUES {nodes}) AS n(node), range({VIRTUAL_NODES}) AS r(v))),
+keyed AS (SELECT *, {fnv64("s")} AS h FROM (SELECT *, 'default.{table}.' || {key} AS s FROM {table})),
+owned AS (SELECT keyed.*, coalesce(node, (SELECT arg_min(node, p) FROM points)) AS owner FROM keyed ASOF LEFT JOIN points ON keyed.h <= points.p)"""
+
+
 def clean(*columns: str) -> Callable[..., DataFrame]:
     return lambda rows, schema: bucketed.clean_rows(rows, schema.key.name).select(*columns, "bucket")
 
@@ -131,15 +144,10 @@ def record_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", record_bytes(schema).alias("record_bytes"))
 
 
-def scratch(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{at.rstrip('/')}/epochs-{uuid.uuid4().hex}"
-
-
 def epochs_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publishes nations, appends them with other names, rolls back and publishes again; the rows of each version."""
     df, schema = opened(spark, sf_dir, "nation")
-    catalog = Catalog(spark, scratch(spark))
+    catalog = Catalog(spark, scratch(spark, "tables"))
     first = catalog.publish(with_rid(df, "n_nationkey"), schema)
     second = catalog.append(with_rid(df.withColumn("n_name", F.lower("n_name")), "n_nationkey"), "nation")
     catalog.rollback("nation", first)
@@ -151,7 +159,7 @@ def epochs_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declared columns of a published table."""
     df, schema = opened(spark, sf_dir, "nation")
-    catalog = Catalog(spark, scratch(spark))
+    catalog = Catalog(spark, scratch(spark, "tables"))
     catalog.publish(with_rid(df, "n_nationkey"), schema)
     return catalog.describe("nation")
 
@@ -159,7 +167,7 @@ def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The versions after two loads, an append, a rollback and a prune to two versions."""
     df, schema = opened(spark, sf_dir, "nation")
-    catalog = Catalog(spark, scratch(spark))
+    catalog = Catalog(spark, scratch(spark, "tables"))
     rows = with_rid(df, "n_nationkey")
     for _ in range(2):
         catalog.publish(rows, schema)
@@ -171,27 +179,28 @@ def epoch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes suppliers as CSV text and loads them with all checks."""
+    """Writes suppliers as CSV text, the header in a file of its own, and loads them with all checks."""
     df, _ = opened(spark, sf_dir, "supplier")
-    at = f"{scratch(spark)}/supplier"
+    at = scratch(spark, "supplier")
     line = F.concat_ws(",", "s_suppkey", F.concat(F.lit(" "), "s_name"), "s_nationkey", F.lit("ignored"))
     head = spark.createDataFrame([("s_suppkey,s_name,s_nationkey,extra",)], "value string")
-    head.union(df.select(line.alias("value"))).coalesce(1).write.text(at)
+    head.coalesce(1).write.text(f"{at}/0")
+    df.select(line.alias("value")).write.text(f"{at}/1")
     schema = TableSchema.of("supplier", "s_suppkey INT KEY", "s_name TEXT INDEX", "s_nationkey INT INDEX")
-    return read_csv(spark, at, schema, 128).select("s_suppkey", "s_name", "s_nationkey")
+    return read_csv(spark, f"{at}/*", schema, 128).select("s_suppkey", "s_name", "s_nationkey")
 
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams events into versions of a table and counts them by type."""
     df, schema = opened(spark, sf_dir, "events")
-    at = scratch(spark)
+    at = scratch(spark, "events")
     catalog = Catalog(spark, f"{at}/tables")
     stream = spark.readStream.schema(df.schema).parquet(f"{sf_dir}/events.parquet*")
     publish_stream(stream, catalog, schema, f"{at}/stream").awaitTermination()
     return catalog.read("events").groupBy("event_type").agg(F.count("*").alias("count_star"))
 
 
-def presence_rows(rows: DataFrame, schema: TableSchema) -> DataFrame:
+def presence_rows(rows: bucketed.Coded, schema: TableSchema) -> DataFrame:
     return bucketed.presence(rows).select("bucket", F.col("cnt").cast("long").alias("cnt"))
 
 
@@ -199,21 +208,21 @@ ORDER_KEY = "o_orderkey"
 #: name: (query, SQL or None)
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "eq_key": (looked_up("orders", "o_custkey", "o_orderstatus", "o_totalprice", where=eq("o_orderkey", 42)), "SELECT o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 42"),
-    "eq_index_int": (looked_up("orders", "o_orderstatus", "o_totalprice", where=eq("o_custkey", 7), limit=1000), "SELECT o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey LIMIT 1000"),
+    "eq_index_int": (looked_up("orders", "o_orderstatus", "o_totalprice", where=eq("o_custkey", 7), limit=None), "SELECT o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7"),
     "eq_index_text": (looked_up("customer", "c_name", "c_acctbal", where=eq("c_mktsegment", "BUILDING"), order_by=("c_name",)), "SELECT c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_name, c_custkey LIMIT 10"),
     "eq_absent": (looked_up("customer", "c_name", where=eq("c_mktsegment", "NOPE")), "SELECT c_name FROM customer WHERE c_mktsegment = 'NOPE'"),
     "eq_key_zero": (looked_up("nation", "n_name", "n_regionkey", where=eq("n_nationkey", 0)), "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey = 0"),
-    "ne_index": (looked_up("customer", "c_name", "c_mktsegment", where=ne("c_mktsegment", "BUILDING"), order_by=("c_name",), limit=20), "SELECT c_name, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY c_name, c_custkey LIMIT 20"),
-    "ne_bang": (looked_up("nation", "n_name", where=ne("n_regionkey", 1), limit=100), "SELECT n_name FROM nation WHERE n_regionkey != 1 ORDER BY n_nationkey LIMIT 100"),
-    "in_text": (looked_up("orders", "o_totalprice", "o_orderpriority", where=one_of("o_orderpriority", "1-URGENT", "5-LOW"), order_by=(("o_totalprice", "desc"),), limit=50), "SELECT o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"),
+    "ne_index": (looked_up("customer", "c_name", "c_mktsegment", where=ne("c_mktsegment", "BUILDING"), limit=None), "SELECT c_name, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'"),
+    "ne_bang": (looked_up("nation", "n_name", where=ne("n_regionkey", 1), limit=None), "SELECT n_name FROM nation WHERE n_regionkey != 1"),
+    "in_text": (looked_up("orders", "o_totalprice", "o_orderpriority", where=one_of("o_orderpriority", "1-URGENT", "5-LOW"), limit=None), "SELECT o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"),
     "in_int_key": (looked_up("part", "p_name", "p_brand", where=one_of("p_partkey", 1, 5, 9)), "SELECT p_name, p_brand FROM part WHERE p_partkey IN (1, 5, 9)"),
     "in_dup": (looked_up("part", "p_name", where=one_of("p_partkey", 5, 5)), "SELECT p_name FROM part WHERE p_partkey IN (5, 5)"),
-    "or_same_col": (looked_up("customer", "c_name", where=either(eq("c_mktsegment", "BUILDING"), eq("c_mktsegment", "FURNITURE")), order_by=("c_name",), limit=30), "SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'FURNITURE' ORDER BY c_name, c_custkey LIMIT 30"),
+    "or_same_col": (looked_up("customer", "c_name", where=either(eq("c_mktsegment", "BUILDING"), eq("c_mktsegment", "FURNITURE")), limit=None), "SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'FURNITURE'"),
     "count_eq": (counted("customer", eq("c_mktsegment", "BUILDING")), "SELECT count(*) AS count_star FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "count_ne": (counted("events", ne("event_type", "click")), "SELECT count(*) AS count_star FROM events WHERE event_type <> 'click'"),
     "count_in": (counted("orders", one_of("o_orderpriority", "1-URGENT", "2-HIGH")), "SELECT count(*) AS count_star FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "count_scan": (counted("lineitem"), "SELECT count(*) AS count_star FROM lineitem"),
-    "star_excludes_key": (looked_up("nation", where=eq("n_regionkey", 1), limit=100), "SELECT * EXCLUDE (n_nationkey) FROM nation WHERE n_regionkey = 1"),
+    "star_excludes_key": (looked_up("nation", where=eq("n_regionkey", 1), limit=None), "SELECT * EXCLUDE (n_nationkey) FROM nation WHERE n_regionkey = 1"),
     "alias": (looked_up("customer", ("c_name", "customer"), ("c_acctbal", "balance"), where=eq("c_nationkey", 3), order_by=("c_name",)), "SELECT c_name AS customer, c_acctbal AS balance FROM customer WHERE c_nationkey = 3 ORDER BY c_name, c_custkey LIMIT 10"),
     "scan_default_limit": (looked_up("customer", "c_name"), "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 10"),
     "scan_order_multi": (looked_up("customer", "c_name", "c_mktsegment", order_by=(("c_mktsegment", "desc"), "c_name"), limit=25), "SELECT c_name, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_name, c_custkey LIMIT 25"),
@@ -232,17 +241,17 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bucketed_rows_ne": (in_buckets("nation", ne("n_regionkey", 1), clean("n_name"), 16), clean_sql("nation", "n_regionkey", "n_nationkey", "n_regionkey <> 1", "n_name")),
     "collided_count": (in_buckets("orders", one_of("o_custkey", 3, 7, 11), lambda rows, _: bucketed.collided(rows)), f"SELECT count(*) AS collided FROM ({presence_sql('orders', 'o_custkey', ORDER_KEY, 'o_custkey IN (3, 7, 11)')}) WHERE cnt > 1"),
     "bucketed_count": (in_buckets("orders", one_of("o_custkey", 3, 7, 11), lambda rows, _: bucketed.bucketed_count(rows)), "SELECT count(*) AS count_star FROM orders WHERE o_custkey IN (3, 7, 11)"),
-    "shard_owner_counts": (owner_counts, None),
+    "shard_owner_counts": (owner_counts, f"{owner_sql('customer', 'c_custkey')} SELECT owner, count(*) AS rows FROM owned GROUP BY owner"),
     "shard_combine_count": (shard_combine_count, "SELECT count(*) AS count_star FROM customer WHERE c_mktsegment = 'BUILDING'"),
-    "shard_presence": (shard_presence, None),
-    **{f"ext_{name}": (looked_up("orders", "o_custkey", "o_totalprice", where=compare("o_custkey", op, 10), strict=False, order_by=(("o_totalprice", "desc"),), limit=100), f"SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey {op} 10 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100") for name, op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="))},
-    "ext_between": (looked_up("orders", "o_custkey", "o_totalprice", where=compare("o_custkey", "between", 5, 9), strict=False, limit=1000), "SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 5 AND 9 ORDER BY o_orderkey LIMIT 1000"),
-    "ext_like": (looked_up("part", "p_name", "p_brand", where=compare("p_name", "like", "%blue%"), strict=False, limit=1000), "SELECT p_name, p_brand FROM part WHERE p_name LIKE '%blue%' ORDER BY p_partkey LIMIT 1000"),
-    "ext_and": (looked_up("orders", "o_custkey", "o_totalprice", where=both(eq("o_orderstatus", "F"), eq("o_orderpriority", "5-LOW")), strict=False, limit=200), "SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW' ORDER BY o_orderkey LIMIT 200"),
-    "ext_or_cross": (looked_up("orders", "o_custkey", "o_totalprice", where=either(eq("o_orderstatus", "P"), eq("o_orderpriority", "5-LOW")), strict=False, limit=200), "SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW' ORDER BY o_orderkey LIMIT 200"),
-    "ext_nested": (looked_up("orders", "o_custkey", "o_totalprice", where=either(eq("o_custkey", 7), both(eq("o_orderstatus", "P"), eq("o_orderpriority", "5-LOW"))), strict=False, limit=200), "SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey = 7 OR o_orderstatus = 'P' AND o_orderpriority = '5-LOW' ORDER BY o_orderkey LIMIT 200"),
+    "shard_presence": (shard_presence, f"{owner_sql('orders', ORDER_KEY)} SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS cnt FROM (SELECT (({mix16('o_custkey')}) + row_number() OVER (PARTITION BY owner ORDER BY o_orderkey) - 1) % 16 AS bucket FROM owned WHERE o_custkey = 7) GROUP BY bucket"),
+    **{f"ext_{name}": (looked_up("orders", "o_custkey", "o_totalprice", where=compare("o_custkey", op, 10), strict=False, limit=None), f"SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey {op} 10") for name, op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="))},
+    "ext_between": (looked_up("orders", "o_custkey", "o_totalprice", where=compare("o_custkey", "between", 5, 9), strict=False, limit=None), "SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 5 AND 9"),
+    "ext_like": (looked_up("part", "p_name", "p_brand", where=compare("p_name", "like", "%blue%"), strict=False, limit=None), "SELECT p_name, p_brand FROM part WHERE p_name LIKE '%blue%'"),
+    "ext_and": (looked_up("orders", "o_custkey", "o_totalprice", where=both(eq("o_orderstatus", "F"), eq("o_orderpriority", "5-LOW")), strict=False, limit=None), "SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'"),
+    "ext_or_cross": (looked_up("orders", "o_custkey", "o_totalprice", where=either(eq("o_orderstatus", "P"), eq("o_orderpriority", "5-LOW")), strict=False, limit=None), "SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'"),
+    "ext_nested": (looked_up("orders", "o_custkey", "o_totalprice", where=either(eq("o_custkey", 7), both(eq("o_orderstatus", "P"), eq("o_orderpriority", "5-LOW"))), strict=False, limit=None), "SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey = 7 OR o_orderstatus = 'P' AND o_orderpriority = '5-LOW'"),
     "record_size": (record_sizes, "SELECT c_custkey, CAST(2 + octet_length(encode(c_name)) + 8 + 8 + 2 + octet_length(encode(c_mktsegment)) AS BIGINT) AS record_bytes FROM customer"),
-    "json_payload": (looked_up("events", "value", "props", where=eq("event_type", "click"), limit=500), "SELECT value, props FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 500"),
+    "json_payload": (looked_up("events", "value", "props", where=eq("event_type", "click"), limit=None), "SELECT value, props FROM events WHERE event_type = 'click'"),
     "epochs_over_time": (epochs_over_time, "SELECT 1::BIGINT AS version, n_name FROM nation UNION ALL SELECT 2, n_name FROM nation UNION ALL SELECT 2, lower(n_name) FROM nation UNION ALL SELECT 3, n_name FROM nation WHERE n_regionkey = 1"),
     "describe_table": (describe_table, "SELECT * FROM (VALUES (0, 'n_nationkey', 'int', 'key'), (1, 'n_name', 'text', 'index'), (2, 'n_regionkey', 'int', 'index')) AS v(position, name, type, role)"),
     "epoch_list": (epoch_list, "SELECT v.version::BIGINT AS version, CASE v.version WHEN 1 THEN n WHEN 3 THEN 2 * n ELSE m END::BIGINT AS rows, v.version = 1 AS current FROM (VALUES (1), (3), (4)) AS v(version), (SELECT count(*) AS n, count(*) FILTER (n_regionkey = 1) AS m FROM nation)"),

@@ -47,6 +47,7 @@ def test_presentation(weather):
     assert values(found(weather, "country", distinct=True, order_by=("country",), limit=4), "country") == ["CA", "CL", "EG", "GB"]
     assert values(found(weather, ("city", "where"), offset=7), "where") == ["Wellington", "London"]
     assert values(found(weather, "conditions", distinct=True, order_by=("temperature",), limit=4), "conditions") == ["Rain", "Drizzle", "Windy", "Overcast"]
+    assert sorted(values(found(weather, "city", limit=None))) == sorted(r[1] for r in ROWS)
     assert len(values(found(weather, "city", limit=100))) == 9 and select.count(weather, WEATHER, ne("conditions", "Sunny")).first()[0] == 7
 
 
@@ -148,6 +149,7 @@ def test_ring(spark):
     here = {k: cw.ring_owner(k, points, owners) for k in keys}
     got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", cw.owner(F.col("k"), ["n4", "n1", "n2", "n3"]).alias("o")).collect()
     assert {r["k"]: r["o"] for r in got} == here and set(here.values()) == {"n1", "n2", "n3", "n4"}
+    assert cw.shard_map_text(["n3", "n1", "n3"]) == "n1\nn3" and cw.shard_map_nodes("n1\n\nn3\n") == ["n1", "n3"]
     fewer = cw.ring(["n1", "n2", "n3"])
     assert all(cw.ring_owner(k, *fewer) == o for k, o in here.items() if o != "n4")  # only the keys of a node that leaves move
 

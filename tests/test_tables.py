@@ -3,12 +3,14 @@
 import pytest
 from hushtable import queries
 from hushtable.access import ANONYMOUS, Gate, Level, read_tokens
-from hushtable.errors import AlreadyExists, InvalidArgument, NotFound, PermissionDenied, ResourceExhausted
+from hushtable.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, PermissionDenied, ResourceExhausted
 from hushtable.plans.lookup import eq, one_of
 from hushtable.plans.schema import TableSchema
-from hushtable.session import Session, rendered
+from hushtable.session import Session, named, raw, rendered
+from hushtable.sources import epochs
 from hushtable.sources.csv_text import from_rows, read_csv
 from hushtable.sources.epochs import Catalog
+from hushtable.streaming.publish import publish_stream
 
 KV = TableSchema.of("t", "k INT KEY", "v TEXT")
 MIXED = TableSchema.of("m", "id INT KEY", "name TEXT INDEX", "x REAL", "j JSON")
@@ -35,6 +37,26 @@ def test_bad_csv(spark, tmp_path, text):
         read_csv(spark, csv(tmp_path, text), MIXED, 128)
 
 
+def test_csv_white_space_and_names(spark, tmp_path):
+    """Cells and the header are trimmed of tabs and the like; columns may have names that the reader uses itself."""
+    schema = TableSchema.of("w", "value INT KEY", "line TEXT", "n INT", "own TEXT", "cells TEXT", "file TEXT", "_n TEXT")
+    text = "\tvalue , line\t,n,own,cells,file,_n\x0c\r\n 1,\ta b\x0b, 2 ,o,c,f,x\r\n\t \r\n2,,\t3,,,,\r\n"
+    got = read_csv(spark, csv(tmp_path, text), schema).orderBy("rid").collect()
+    assert [tuple(r)[:-1] for r in got] == [(1, "a b", 2, "o", "c", "f", "x"), (2, "", 3, "", "", "", "")]
+    with pytest.raises(InvalidArgument, match="rid"):
+        read_csv(spark, csv(tmp_path, "rid\n1\n"), TableSchema.of("w", "rid INT KEY"))
+
+
+def test_csv_of_several_files_keeps_their_order(spark, tmp_path):
+    """The first file is the smallest, and Spark would read the largest first."""
+    (tmp_path / "many").mkdir()
+    for k in range(4):
+        lines = [f"{i},v{i}" for i in range(10 ** k, 10 ** (k + 1))] if k else ["k,v", "0,v0"]
+        (tmp_path / "many" / f"part-{k}.csv").write_text("\n".join(lines) + "\n")
+    got = read_csv(spark, str(tmp_path / "many"), KV).orderBy("rid").collect()
+    assert [r["k"] for r in got] == [0, *range(10, 10_000)]
+
+
 def test_versions(spark, tmp_path):
     catalog = Catalog(spark, f"file://{tmp_path}/base")
     with pytest.raises(NotFound):
@@ -73,6 +95,89 @@ def test_appends_keep_eight_versions(spark, tmp_path):
     assert [r["version"] for r in catalog.epochs("t").orderBy("version").collect()] == list(range(3, 11)) and catalog.read("t").count() == 10
 
 
+def test_many_appends_are_one_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(epochs, "FAN_IN", 3)
+    monkeypatch.setattr(epochs, "KEPT_ENTRIES", 4)
+    catalog = Catalog(spark, f"file://{tmp_path}/base")
+    catalog.publish(rows(spark, (0, "v")), KV)
+    for k in range(1, 20):
+        catalog.append(rows(spark, (k, "v")), "t", keep=2)
+    now = catalog.epoch("t")
+    assert len(now.folders) <= 8 and max(level for _, level in now.parts) >= 2 and now.rows == 20
+    df = catalog.read("t")
+    assert {r["k"]: r["rid"] for r in df.collect()} == {k: k for k in range(20)}
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert len(catalog.entries("t", "default")) <= 5 and len(catalog.listed(f"{catalog.path('t')}/data")) <= 12
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Another writer commits after the state was read: the change is made again from the new state."""
+    one, two = (Catalog(spark, f"file://{tmp_path}/base") for _ in range(2))
+    one.publish(rows(spark, (0, "first")), KV)
+    plain, raced = Catalog.written, []
+
+    def slow(self, df, at):
+        if self is one and not raced:
+            raced.append(two.append(rows(spark, (1, "two")), "t"))
+        return plain(self, df, at)
+
+    monkeypatch.setattr(Catalog, "written", slow)
+    assert one.append(rows(spark, (2, "one"), (3, "one")), "t") == 3 and raced == [2]
+    assert {r["k"]: r["rid"] for r in one.read("t").collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+    assert sorted(r["k"] for r in one.read("t", version=2).collect()) == [0, 1]
+
+
+STREAMED = TableSchema.of("s", "k INT KEY", "v TEXT")
+
+
+def streamed(spark, tmp_path, catalog, *numbers, checkpoint="c"):
+    """Puts some rows into the stream's folder and publishes what is new."""
+    (tmp_path / "in").mkdir(exist_ok=True)
+    for k in numbers:
+        spark.createDataFrame([(k, f"v{k}")], "k long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
+    publish_stream(stream, catalog, STREAMED, str(tmp_path / checkpoint)).awaitTermination()
+    return sorted(r["k"] for r in catalog.read("s").collect())
+
+
+def test_stream_onto_a_table_with_versions(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/base")
+    for k in range(3):
+        catalog.publish(from_rows(spark, STREAMED, [(k, "old")]), STREAMED)
+    assert streamed(spark, tmp_path, catalog, 10, 11) == [2, 10, 11]
+    catalog.append(from_rows(spark, STREAMED, [(5, "insert")]), "s")  # between batches
+    assert streamed(spark, tmp_path, catalog, 12) == [2, 5, 10, 11, 12]
+    catalog.rollback("s", 3)
+    assert streamed(spark, tmp_path, catalog, 13) == [2, 13]
+    assert len(catalog.epochs("s").collect()) == 7
+
+
+def test_stream_batches_that_run_again(spark, tmp_path):
+    import shutil
+
+    catalog = Catalog(spark, f"file://{tmp_path}/base")
+    assert streamed(spark, tmp_path, catalog, 1) == [1] and streamed(spark, tmp_path, catalog, 2) == [1, 2]
+    shutil.rmtree(tmp_path / "c" / "commits")  # as if the stream had failed after the tables' commits
+    assert streamed(spark, tmp_path, catalog) == [1, 2]
+    assert streamed(spark, tmp_path, catalog, 3) == [1, 2, 3]
+    assert streamed(spark, tmp_path, catalog, checkpoint="other") == [1, 1, 2, 2, 3, 3]  # another stream
+
+
+CLASHING = TableSchema.of("c", "k INT KEY", *(f"{n} TEXT INDEX" for n in ("cw", "shard", "first", "bucket", "s", "c", "n", "own", "at", "_n", "_at", "_block", "_rid", "order0", "before")))
+
+
+def test_clashing_names(spark, tmp_path):
+    """Columns of names that bucketed and exact lookups use on the way."""
+    names = CLASHING.returned
+    root = Session(spark, f"file://{tmp_path}/base", Gate(read_tokens("root admin r")), "r")
+    data = [(k, *(f"{n}{k}" for n in names)) for k in range(4)]
+    root.load(CLASHING, spark.createDataFrame(data, CLASHING.struct()), "k")
+    for where in (eq("shard", "shard2"), eq("bucket", "bucket2"), eq("k", 2)):
+        clean, collided = root.private_lookup("c", where=where)
+        assert [tuple(r) for r in clean.collect()] == [data[2][1:]] == [tuple(r) for r in root.lookup("c", where=where).collect()] and collided.first()[0] == 0
+    assert [r["own"] for r in root.lookup("c", "own", order_by=(("order0", "desc"),), distinct=True).collect()] == ["own3", "own2", "own1", "own0"]
+
+
 def test_session(spark, tmp_path):
     at = f"file://{tmp_path}/base"
     tokens = read_tokens("# who\nalice query tok-a\n\nroot admin tok-r # all\n")
@@ -85,18 +190,48 @@ def test_session(spark, tmp_path):
     assert sorted(r["v"] for r in clean.collect()) == ["a", "b", "eight"] and collided.first()[0] == 0
     assert root.sql("SELECT v FROM t WHERE k = :k", k=8).first()[0] == "eight"
     assert [r["v"] for r in root.scan("t", 2).collect()] == ["a", "b"]
-    assert root.status("t") == {"has_epoch": True, "version": 2, "rows": 4} and not root.status("u")["has_epoch"]
+    assert root.status("t").items() >= {"has_epoch": True, "version": 2, "rows": 4, "auth_mode": "token"}.items() and not root.status("u")["has_epoch"]
     assert rendered(root.lookup("t", ("v", "name"), where=eq("k", 8))) == "name\n-----\neight"
+    assert named(root.lookup("t", where=eq("k", 8))) == ["v=eight"] and raw(root.lookup("t", where=eq("k", 8)), KV) == [b"\x05\0eight"]
+    assert root.principals() == ["alice", "root"]
     alice = Session(spark, at, Gate(tokens), "tok-a")
     assert alice.count("t", eq("k", 7)).first()[0] == 2
-    for act in (lambda: alice.insert("t", (1, "x")), lambda: alice.rollback("t", 1), lambda: Session(spark, at, Gate(tokens), "no").count("t"), lambda: Session(spark, at).insert("t", (1, "x"))):
+
+
+ADMIN_CALLS = {
+    "load_csv": lambda s, path: s.load_csv(KV, path), "load": lambda s, path: s.load(KV, rows(s.spark, (1, "x"))), "insert": lambda s, path: s.insert("t", (1, "x")), "sql": lambda s, path: s.sql("SELECT k FROM t"),
+    "status": lambda s, path: s.status("t"), "principals": lambda s, path: s.principals(), "epochs": lambda s, path: s.epochs("t"), "rollback": lambda s, path: s.rollback("t", 1),
+}
+QUERY_CALLS = {
+    "lookup": lambda s, path: s.lookup("t", where=eq("k", 7)), "count": lambda s, path: s.count("t"), "private_lookup": lambda s, path: s.private_lookup("t", where=eq("k", 7)),
+    "scan": lambda s, path: s.scan("t"), "tables": lambda s, path: s.tables(), "describe": lambda s, path: s.describe("t"),
+}
+
+
+@pytest.mark.parametrize("name", [*ADMIN_CALLS, *QUERY_CALLS])
+def test_every_call_keeps_its_role(spark, tmp_path, name):
+    at, path = f"file://{tmp_path}/base", csv(tmp_path, "k,v\n7,a\n")
+    tokens = read_tokens("alice query q\nroot admin r")
+    Catalog(spark, at).publish(read_csv(spark, path, KV), KV)
+    call = (ADMIN_CALLS | QUERY_CALLS)[name]
+    call(Session(spark, at, Gate(tokens), "r"), path)
+    others = [Session(spark, at, Gate(tokens), "q"), Session(spark, at, Gate(insecure=True))]
+    for session in others:
+        if name in QUERY_CALLS:
+            call(session, path)
+            continue
+        with pytest.raises(PermissionDenied):
+            call(session, path)
+    for token in ("no", None):
         with pytest.raises(PermissionDenied):
-            act()
+            call(Session(spark, at, Gate(tokens), token), path)
 
 
 def test_gate():
     now = [100.0]
-    gate = Gate(None, rate=1, burst=2, clock=lambda: now[0])
+    with pytest.raises(FailedPrecondition):
+        Gate()
+    gate = Gate(None, rate=1, burst=2, clock=lambda: now[0], insecure=True)
     assert gate.admit(None, Level.QUERY) == ANONYMOUS
     gate.admit(None, Level.QUERY)
     with pytest.raises(ResourceExhausted):
