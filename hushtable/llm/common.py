@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..names import fresh as fresh, scratch as scratch
 from ..shipping import ship
 
 BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
@@ -32,38 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset, as in tests, a folder under the warehouse."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir() or at
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """These names with so many underscores before them that no column of the table has them."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        out.append(name)
-    return out
-
-
 def kept_table(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts the lineage: a lost executor loses none of it."""
     prepare(spark := df.sparkSession)
     df.write.parquet(path := scratch(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def dropped_tables(*tables: DataFrame) -> None:
+    """Deletes tables of ``kept_table`` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def give_back() -> None:

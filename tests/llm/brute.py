@@ -101,3 +101,65 @@ def close_items(docs, items, share):
             if body and (n := fewest_edits(body, text)) <= int(len(body) * share):
                 out[d, k] = n
     return out
+
+
+def pitman_yor(docs, held_out, values, sweeps, samples):
+    """log10 scores by a sampler in which every customer leaves and sits down again, at tables with sizes of their own."""
+    import math
+    import random
+
+    rng = random.Random(0)
+    tokens = {d: [*words(t, True), None] for d, t in docs}
+    pairs = [(u, w) for d, x in tokens.items() if not held_out[d] for u, w in zip([None, *x], x, strict=False)]
+    known = {w for _, w in pairs}
+    base = 1 / (len(known) + 1)
+    d, theta, pd, ptheta = (values[k] for k in ("d", "theta", "parent_d", "parent_theta"))
+    rooms = defaultdict(lambda: defaultdict(list))  # context, dish: sizes of tables
+    parent = defaultdict(list)
+    count = lambda room: (sum(map(sum, room.values())), sum(map(len, room.values())))
+
+    def p_of(w):
+        c, t = count(parent)
+        own = parent.get(w, [])
+        return (sum(own) - pd * len(own) + (ptheta + pd * t) * base) / (ptheta + c)
+
+    def sit(tables, weight_new, discount):
+        x = rng.random() * (sum(tables) - discount * len(tables) + weight_new)
+        for k, size in enumerate(tables):
+            x -= size - discount
+            if x < 0:
+                tables[k] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        x = rng.randrange(sum(tables))
+        for k, size in enumerate(tables):
+            x -= size
+            if x < 0:
+                tables[k] -= 1
+                if not tables[k]:
+                    del tables[k]
+                    return True
+                return False
+
+    def arrive(u, w):
+        if sit(rooms[u][w], (theta + d * count(rooms[u])[1]) * p_of(w), d):
+            sit(parent[w], (ptheta + pd * count(parent)[1]) * base, pd)
+
+    for u, w in pairs:
+        arrive(u, w)
+    total = defaultdict(float)
+    asked = {(u, w) for x in tokens.values() for u, w in zip([None, *x], x, strict=False)}
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(rooms[u][w]):
+                leave(parent[w])
+            arrive(u, w)
+        if sweep >= sweeps - samples:
+            for u, w in asked:
+                c, t = count(rooms[u]) if u in rooms else (0, 0)
+                own = rooms[u].get(w, []) if u in rooms else []
+                total[u, w] += (sum(own) - d * len(own) + (theta + d * t) * p_of(w)) / (theta + c)
+    return {k: sum(math.log10(total[u, w] / samples) for u, w in zip([None, *x], x, strict=False)) for k, x in tokens.items()}

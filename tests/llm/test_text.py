@@ -325,22 +325,91 @@ def test_pitman_yor_ties_in_identifiers(nulls):
     assert rows == {None: 82, 5: 162, 6: 1, 7: 8}
 
 
-def test_pitman_yor_probabilities_sum_to_one(spark, monkeypatch):
-    """Over all known words and the unknown one, in one context, from the model's own samples."""
-    import zstandard  # noqa: F401
-
+@pytest.mark.parametrize("top", [1 << 10, 4, 1])
+def test_pitman_yor_probabilities_sum_to_one(spark, monkeypatch, top):
+    """Over all known words, the end and an unknown word, after each word: asked for by held-out texts of every pair of words."""
+    monkeypatch.setattr(pitman_yor, "TOP", top)
     rng = random.Random(8)
-    docs = [(k, prose(rng, 60, 50)) for k in range(40)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").cache()
+    docs = [(k, prose(rng, 60, 12)) for k in range(40)]
     words = sorted({w for d, t in docs if zlib.crc32(str(d).encode()) % 5 != 1 for w in brute.words(t, True)})
-    ask = [d for d in range(10_000, 20_000) if zlib.crc32(str(d).encode()) % 5 == 1][: len(words) + 2]
-    texts = ["", *words, "notaword"]
-    more = spark.createDataFrame(list(zip(ask, texts, strict=True)), "doc_id long, text string")
-    score = {r["doc_id"]: r["score"] for r in pitman_yor.scored(df.union(more)).collect()}
-    # P(end | none) + sum of P(w | none) is one; P(w end) / P(end | w) isn't known here, so words that aren't contexts are compared
-    assert all(score[d] < score[ask[0]] for d in ask[1:])
-    samples = pitman_yor.seated(np.array([1, 2, 50, 100_000]), np.full(4, 20.0), np.full(4, 0.01), 0.5, np.random.default_rng(0))
-    assert samples[0] == 1 and 1 <= samples[1] <= 2 and (samples <= [1, 2, 50, 100_000]).all()
+    contexts = [*words, "notaword"]
+    held = [d for d in range(10_000, 20_000) if zlib.crc32(str(d).encode()) % 5 == 1][: len(contexts)]
+    asked = [(d, " ".join(f"{c} {w}" for w in [*words, "notaword"])) for d, c in zip(held, contexts, strict=True)] + [(held[0], c) for c in contexts]
+    rows = pitman_yor.Model(spark.createDataFrame(docs + asked, "doc_id long, text string")).token_scores().collect()
+    p = {}
+    for r in rows:
+        assert p.setdefault((r["context"], r["word"]), pytest.approx(r["log10_p"], abs=1e-4)) == r["log10_p"]
+    whole = [c for c in {c for c, _ in p} if sum(x == c for x, _ in p) == len(words) + 2]
+    assert len(whole) >= len(contexts)
+    for c in whole:
+        assert sum(10**x.expected for (k, _), x in p.items() if k == c) == pytest.approx(1, abs=1e-4)
+    scores = by_id(pitman_yor.scored(spark.createDataFrame(docs, "doc_id long, text string")), "score")
+    sums = {}
+    for r in pitman_yor.Model(spark.createDataFrame(docs, "doc_id long, text string")).token_scores().collect():
+        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["log10_p"]
+    assert all(scores[d][0] == pytest.approx(sums[d], rel=1e-5) for d in scores)
+
+
+def test_tables_follow_their_distribution():
+    """Up to EXACT customers the draw is from the weights of all seatings of a dish, told over one by one."""
+    scale, base, d, n = 3.0, 0.2, 0.4, 6
+    weight = {}
+
+    def seat(sizes):
+        if sum(sizes) == n:
+            ways = weight.setdefault(len(sizes), [])
+            ways.append(np.prod([np.prod([k - d for k in range(1, m)]) for m in sizes]) * np.prod([(scale + d * k) * base for k in range(1, len(sizes))]))
+            return
+        for k in range(len(sizes)):
+            seat([m + (i == k) for i, m in enumerate(sizes)])
+        seat([*sizes, 1])
+
+    seat([1])
+    total = sum(map(sum, weight.values()))
+    got = pitman_yor.seated(np.full(200_000, n), np.full(200_000, scale), np.full(200_000, base), d, np.random.default_rng(1))
+    for t, ways in weight.items():
+        assert (got == t).mean() == pytest.approx(sum(ways) / total, abs=0.005)
+    many = pitman_yor.seated(np.array([1, 2, 50, 100_000]), np.full(4, 20.0), np.full(4, 0.01), 0.5, np.random.default_rng(0))
+    assert many[0] == 1 and (many >= 1).all() and (many <= [1, 2, 50, 100_000]).all()
+
+
+def test_discount_and_strength_are_found_again():
+    """Of restaurants seated by the Chinese restaurant process with known values, where all dishes are different."""
+    rng = np.random.default_rng(3)
+    for d, theta in ((0.5, 3.0), (0.8, 0.5)):
+        customers, tables, dishes = [], [], []
+        for _ in range(400):
+            sizes = []
+            for k in range(60):
+                new = (theta + d * len(sizes)) / (theta + k)
+                if rng.random() < new:
+                    sizes.append(1)
+                else:
+                    sizes[rng.choice(len(sizes), p=(np.array(sizes) - d) / (k - d * len(sizes)))] += 1
+            customers.append(60)
+            tables.append(len(sizes))
+            dishes += sizes
+        dishes, none = np.array(dishes), pitman_yor.binned(np.empty(0))
+        got = [pitman_yor.drawn(rng, pitman_yor.dishes(dishes, np.ones(len(dishes), int)), [pitman_yor.binned(np.array(tables)), none], [pitman_yor.binned(np.array(customers)), none]) for _ in range(5)]
+        assert np.mean([x for x, _ in got]) == pytest.approx(d, abs=0.06) and np.mean([x for _, x in got]) == pytest.approx(theta, rel=0.5)
+
+
+def test_pitman_yor_against_plain_gibbs(spark, monkeypatch):
+    """Mean scores of a small table against a sampler that seats one customer after another at tables of its own."""
+    fixed = dict(pitman_yor.START, d=0.6, theta=1.5, parent_d=0.4, parent_theta=2.0)
+    monkeypatch.setattr(pitman_yor, "START", fixed)
+    drawn = iter([])
+    monkeypatch.setattr(pitman_yor, "drawn", lambda rng, seats, tables, customers: next(drawn))
+    monkeypatch.setattr(pitman_yor, "SWEEPS", 12)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 9)
+    drawn = iter([(fixed["d"], fixed["theta"]), (fixed["parent_d"], fixed["parent_theta"])] * 12)
+    rng = random.Random(21)
+    docs = [(k, prose(rng, rng.randint(0, 25), 20)) for k in range(40)]
+    held_out = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs}
+    got = by_id(pitman_yor.scored(spark.createDataFrame(docs, "doc_id long, text string")), "score", "n_tokens")
+    want = brute.pitman_yor(docs, held_out, fixed, 300, 200)
+    off = [abs(got[d][0] - want[d]) / got[d][1] for d in want]
+    assert max(off) < 0.06 and sum(off) / len(off) < 0.015
 
 
 def test_pitman_yor_beats_the_base_on_held_out_text(spark):
