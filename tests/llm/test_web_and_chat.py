@@ -59,8 +59,66 @@ def test_names_of_wrappers_do_not_hide_the_article(spark):
     assert texts(html_text.extract(pages(spark, [(1, "http://a.org", body), (2, "http://b.org", other)]))) == {1: "T\nx", 2: "only text"}
 
 
+def plain_pages(n=8, seed=4):
+    """A host without meaningful names: a varying menu, advert and foot, a box that is always the same, and the article; neighbours have the same name."""
+    rng = random.Random(seed)
+    text = lambda k: " ".join(rng.choice("abcdef") * rng.randint(1, 6) for _ in range(k))
+    out, want = [], {}
+    for k in range(n):
+        title, paragraphs = f"t{k} {text(3)}", [f"x{k} {text(30)}" for _ in range(rng.randint(1, 4))]
+        menu = "".join(f"<div class=q><a href=x>{text(1)}</a></div>" for _ in range(rng.randint(2, 4)))
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs[:1]) + "<div class=k>Always the same</div>" + "".join(f"<p>{x}</p>" for x in paragraphs[1:])
+        out.append((k, "http://q.org/", f"<html><body><div>Site of q</div>{menu}<div class=z>buy {text(2)}</div><div>{body}</div><div class=y>foot {text(2)}</div></body></html>"))
+        want[k] = "\n".join([title, *paragraphs])
+    return out, want
+
+
+def test_templates_decide_where_names_say_nothing(spark):
+    rows, want = plain_pages()
+    df = pages(spark, rows)
+    assert texts(html_text.extract(df)) == want
+    none = spark.createDataFrame([], "host string, wrapper string")
+    assert all(x != want[k] for k, x in texts(html_text.extract(df, none)).items())  # without wrappers the rest comes too
+
+
+def test_templates_are_folded_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "FAN_IN", 2)
+    rows, want = plain_pages(24)
+    assert texts(html_text.extract(pages(spark, rows).repartition(9))) == want
+
+
+def test_copies_make_no_box(spark):
+    """A box that only copies of one page share is no template, however many they are."""
+    rows, want = plain_pages(6)
+    own = rows[0][2].replace("</h1>", "</h1><div class=s>Summary of this page</div>")
+    rows += [(100 + k, "http://q.org/", own) for k in range(30)]
+    got = texts(html_text.extract(pages(spark, rows)))
+    assert all(got[100 + k].split("\n")[1] == "Summary of this page" for k in range(30)) and all(got[k] == want[k] for k in range(1, 6))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div>" * 500 + "deep" + "</div>" * 500, "deep"), ("<div>" * 20_000 + "deep <p>er</p>" + "</div>" * 20_000 + "<p>after</p>", "deep\ner\nafter"), ("<p>" + "<x>" * 3000 + "a<script>no</script>b<style>c", "ab"),
+        ("<p>a</p><![foo[y]]><p>b</p>", "a\nb"), ("<p>a</p><![ foo", "a"), ("<p>a</p><!x", "a"), ("<p>a</p><a href='x", "a"), ("<p>a</p><!-- x", "a"), ("<p>a</p></di", "a"), ("<p>a < b</p>", "a < b"),
+        ("<!DOCTYPE html [ <!ENTITY a 'b'> ]><p>a</p>", "a"), ("<!doctype html><p>a &amp", "a &"), ("<![CDATA[x]]><p>a</p>", "a"), ("<p>a<br", "a"), ("<?php x ?><p>a", "a"), ("<" * 50 + "p>a", "<" * 49 + "\na"),
+    ],
+)
+def test_odd_pages(spark, html, text):
+    html_text.skeleton(html_text.Page(html).root, 1)
+    assert html_text.main_text(html_text.Page(html), None) == text
+    if "after" in html:
+        rows = [(k, "http://o.org/", html.replace("deep", f"deep{k}")) for k in range(3)]  # what follows the container is the same everywhere
+        assert texts(html_text.extract(pages(spark, rows))) == {k: f"deep{k}\ner" for k in range(3)}
+
+
+def test_long_page(spark):
+    body = "<article>" + "<p>word &amp; more</p>" * 100_000 + "</article>"
+    assert texts(html_text.extract(pages(spark, [(1, "http://l.org/", body)])))[1] == "\n".join(["word & more"] * 100_000)
+
+
 def test_tree_matching():
-    leaf = lambda label, *kids: [label, 1, 0, 0, 0, 0, list(kids)]
+    leaf = lambda label, *kids: [label, 1, 0, 0, 0, 0, list(kids), 0]
     a, b = [leaf("a"), leaf("b", leaf("x"), leaf("y")), leaf("c")], [leaf("b", leaf("y")), leaf("z"), leaf("c")]
     assert html_text.matched(a, b) == (3, [(1, 0), (2, 2)])
     merged = html_text.fold(leaf("r", *a), leaf("r", *b))
