@@ -187,10 +187,12 @@ def test_substrings(table, docs, batches):
     assert got == brute.repeated_windows(docs)
 
 
-def test_substrings_frequent_fingerprints(table, docs, monkeypatch):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substrings_frequent_fingerprints(table, docs, monkeypatch, batches):
     """Fingerprints with more rows than a task holds."""
     monkeypatch.setattr(substrings, "GROUP_ROWS", 1)
-    assert by_id(substrings.deduplicated(table.repartition(20), 1), "n_words", "n_removed", "text") == brute.repeated_windows(docs)
+    monkeypatch.setattr(substrings, "MERGED_ROWS", 7)
+    assert by_id(substrings.deduplicated(table.repartition(20), batches), "n_words", "n_removed", "text") == brute.repeated_windows(docs)
 
 
 def test_substrings_hard_tables(table, docs, empty, nulls):
@@ -204,12 +206,20 @@ def test_substrings_hard_tables(table, docs, empty, nulls):
     assert want.items() <= got.items() and all(t is None or r == 0 or k for d, t in got.items() for _, r, k in [brute.repeated_windows(docs)[d]])
 
 
-def test_substring_runs_are_compacted(spark, table):
-    index = substrings.WindowIndex(spark, scratch(spark, "t"))
+def test_substring_runs_are_compacted(spark, table, docs, monkeypatch):
+    """The runs hold every window once, before and after they are merged; history is neither shuffled nor sorted again."""
+    monkeypatch.setattr(substrings, "MOST_RUNS", 2)
+    index, seen = substrings.WindowIndex(spark, scratch(spark, "t"), 4), 0
     for k in range(6):
         batch = table.where(f"doc_id >= {k * 10} and doc_id < {k * 10 + 10}")
-        index.add(batch, table.where(f"doc_id < {k * 10}") if k else None).count()
-    assert len(index.runs) < 6 and index.history().count() > 0
+        index.add(batch).count()
+        seen += 1
+        here = {tuple(w[i : i + 20]) for d, t in docs if d < k * 10 + 10 for w in [brute.words(t)] for i in range(len(w) - 19)}
+        rows = [tuple(r) for r in index.windows().collect()]
+        assert len(rows) == len(set(rows)) == len(here)
+    assert len(index.runs) <= 2 < seen
+    plan = index.dealt(substrings.window_rows(spark.createDataFrame(docs, "doc_id long, text string")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_decontamination(spark, empty, nulls):
