@@ -7,17 +7,22 @@ shuffles, so a payload in a third of all records makes no hot task.
 
 A task fills one archive after another up to a bounded size, builds the
 dictionary from all its records, and writes under a name of its own attempt;
-the index that Spark commits names the archives that count.
+the index that Spark commits names the archives that count. Small partitions
+are read by one task, so that an archive has records enough to learn from;
+where they are too few for the trainer, the dictionary is the records' own
+starts.
 
 Null payloads are empty, null identifiers are kept (and are the smallest),
 a null URL leaves the header out, rows with the same identifier and payload
 are all written alike, an empty table gives no archive, and further columns
-are left out.
+are left out, whatever their names. A very long payload is a record of an
+archive of its own, held by its task alone.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import struct
 import uuid
@@ -28,12 +33,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import kept_table, scratch, small_batches, table
+from .common import fresh, kept_table, scratch, small_batches, table
 from .sstable import made_folder, opened
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES, LEAST_BYTES = 64 << 10, 256
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, size long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -83,28 +88,26 @@ def parsed(raw: bytes) -> dict:
 
 
 def built_dictionary(records: list[bytes]):
-    """A dictionary built from all the records, or None if they are too few for one."""
+    """A dictionary built from all the records: trained on them, or of their starts where they are too few for the trainer."""
     import zstandard
 
-    size = min(DICTIONARY_BYTES, sum(map(len, records)) // 8)
-    if len(records) < 8 or size < 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(size, records, k=1024, d=8, f=18, accel=4)
-    except zstandard.ZstdError:
-        return None
+    size = min(DICTIONARY_BYTES, max(LEAST_BYTES, sum(map(len, records)) // 8))
+    with contextlib.suppress(zstandard.ZstdError):
+        return zstandard.train_dictionary(size, records, k=1024, d=8, f=18, accel=1)
+    each = max(64, size // len(records))
+    return zstandard.ZstdCompressionDict(b"".join(x[:each] for x in records)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], level: int = 3) -> tuple[bytes, list[tuple[int, int]]]:
     """The bytes of an archive, and the offset and size of each record's frame."""
     import zstandard
 
+    if not records:
+        return b"", []
     dictionary = built_dictionary(records)
     packer = zstandard.ZstdCompressor(level=level, dict_data=dictionary)
-    head = b""
-    if dictionary is not None:
-        raw = dictionary.as_bytes()
-        head = struct.pack("<II", SKIPPABLE, len(raw)) + raw
+    raw = dictionary.as_bytes()
+    head = struct.pack("<II", SKIPPABLE, len(raw)) + raw
     parts, places, at = [head], [], len(head)
     for raw in records:
         parts.append(packer.compress(raw))
@@ -143,13 +146,14 @@ def records_of(raw: bytes) -> Iterator[bytes]:
 def with_responses(df: DataFrame, page_id: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Adds ``revisit`` and ``refers_to``, in place of columns of these names. Only digests that occur twice or more go into the join."""
     df = df.drop("revisit", "refers_to")
+    digest, size, response, d, n = fresh(df, "digest", "size", "response", "d", "n")
     whole = F.coalesce(F.col(payload), F.lit(""))
-    rows = df.withColumn("_digest", F.sha1(whole)).withColumn("_size", F.octet_length(whole))
-    shared = rows.where(F.col("_size") >= least_bytes).groupBy("_digest", "_size").agg(F.max(page_id).alias("_response"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    shared = kept_table(shared, "warc-shared")
-    joined = rows.join(shared, ["_digest", "_size"], "left")
-    revisit = F.col("_response").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_response"))
-    return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("_response"))).drop("_digest", "_size", "_response")
+    rows = df.withColumn(digest, F.sha1(whole)).withColumn(size, F.octet_length(whole))
+    counts = rows.where(F.col(size) >= least_bytes).groupBy(F.col(digest).alias(d), F.col(size).alias(n)).agg(F.max(page_id).alias(response), F.count("*").alias("copies"))
+    shared = kept_table(counts.where("copies > 1").drop("copies"), "warc-shared")
+    joined = rows.join(shared, (F.col(digest) == F.col(d)) & (F.col(size) == F.col(n)), "left")
+    revisit = F.col(response).isNotNull() & ~F.col(page_id).eqNullSafe(F.col(response))
+    return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col(response))).drop(digest, size, response, d, n)
 
 
 def write_archives(df: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -164,7 +168,7 @@ def write_archives(df: DataFrame, folder: str, page_id: str = "page_id", url: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, held = [], 0
-        for batch in small_batches(batches, payload):
+        for batch in small_batches(batches, payload, 2 << 20):
             for row in batch.to_pylist():
                 raw = (row[payload] or "").encode()
                 records.append(record(row[page_id], row[url], raw, row["refers_to"], row["revisit"], base32(hashlib.sha1(raw).digest())))
@@ -176,6 +180,8 @@ def write_archives(df: DataFrame, folder: str, page_id: str = "page_id", url: st
             yield flush(folder, records)
 
     rows = df.select(F.col(page_id).cast("long").alias(page_id), url, payload, "revisit", "refers_to")
+    total = df.agg(F.sum(F.octet_length(payload)).alias("n")).first()["n"] or 0
+    rows = rows.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES)))  # never more than there are
     rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return df.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 

@@ -11,11 +11,11 @@ from hushtable.llm import chat, html_text, warc
 from hushtable.llm.common import scratch
 
 P = pytest.importorskip("public_tokenizers")
-PAGE = "page_id long, url string, html string, host string, wrapper string, text string, revisit string, _digest string"
+PAGE = "page_id long, url string, html string, host string, wrapper string, text string, revisit string, _digest string, _response string, _size string, digest string, size string, response string, d string, n string"
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(*r, *"abcde") for r in rows], PAGE)
+    return spark.createDataFrame([(*r, *"abcdefghijkl") for r in rows], PAGE)
 
 
 def page(article, n=0, tail="</body></html>"):
@@ -160,7 +160,11 @@ def test_archive_has_its_dictionary():
     records = [warc.record(k, "u", (f"<p>common words in all records {k}</p>" * 30).encode(), None, False, "D") for k in range(200)]
     raw, places = warc.archive(records)
     assert int.from_bytes(raw[:4], "little") == warc.SKIPPABLE and list(warc.records_of(raw)) == records
-    assert warc.archive([])[0] == b"" and list(warc.records_of(warc.archive(records[:1])[0])) == records[:1]
+    assert warc.archive([])[0] == b""
+    for few in (records[:1], records[:7], [b""], [b"", b"a"], [b"x" * 5], [b"ab" * 4_000_000]):  # also too few for the trainer
+        raw = warc.archive(few)[0]
+        assert int.from_bytes(raw[:4], "little") == warc.SKIPPABLE and list(warc.records_of(raw)) == few
+    raw, places = warc.archive(records)
     assert places[0][0] == 8 + int.from_bytes(raw[4:8], "little")
 
 
