@@ -134,7 +134,12 @@ def frequent_words(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np
     counted = kept_table(df.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent-words")
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     end = int(END.view(np.int64))
-    found = [(r["h"], r["n"]) for r in counted.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(HEAD - 1).collect()]
+    # words by powers of two of their counts, so that few words more than are wanted get sorted
+    sizes, least = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()), 0
+    for b in sorted(sizes):
+        if sum(n for x, n in sizes.items() if x >= b) > HEAD:
+            least = b
+    found = [(r["h"], r["n"]) for r in counted.where((F.col("h") != end) & (F.col("n") >= 1 << least)).orderBy(F.desc("n"), "h").limit(HEAD - 1).collect()]
     ends = counted.where(F.col("h") == end).first()
     found.insert(0, (end, ends["n"] if ends else 0))
     head = np.array([h for h, _ in found], np.int64).view(np.uint64)
@@ -216,7 +221,7 @@ def inboxes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
 
 
 def dealt_to_blocks(df: DataFrame, blocks: int) -> DataFrame:
-    return df.repartition(blocks, "to").sortWithinPartitions("to", "kind", "frm")
+    return df.repartitionById(blocks, "to").sortWithinPartitions("to", "kind", "frm")
 
 
 def delivered(df: DataFrame, blocks: int, work) -> DataFrame:
@@ -693,7 +698,7 @@ class Model:
 
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
         both = self.df.select(doc_id, text).mapInArrow(of_texts, MESSAGE).union(delivered(self.inbox(), blocks, of_pairs))
-        out = both.repartition(blocks, "to").sortWithinPartitions("to").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        out = both.repartitionById(blocks, "to").sortWithinPartitions("to").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
         out = out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
         return out.select("doc_id", is_held_out().alias("held_out"), "n_tokens", "n_known", F.lit(fixed["train"]).cast("long").alias("train_tokens"), "base_score", "score")
 
