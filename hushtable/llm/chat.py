@@ -12,10 +12,19 @@ sort a tree shared by a third of all conversations is split over many tasks.
 Position ids count along the path; attention intervals are the stream
 intervals of the ancestors, one for each run.
 
+Owners and runs are found from digests and lengths alone. Only turns that
+conversations share are looked up by their digest, their counts pre-aggregated.
+The tokens are dealt once into the order of the stream, and once more to be
+read by conversation. As a conversation's own nodes are neighbours in the
+stream, its runs' intervals follow from position ids and one place for each
+owner.
+
 Rows of a conversation are ordered by turn (null first), then role, then text.
 Null roles and texts are empty; rows with a null conversation are one
 conversation; repeated rows are repeated turns; an empty table gives an empty
-result; further columns are left out.
+result; further columns are left out. A very long turn is held by its task
+alone; a conversation of very many turns is streamed, and only its turns'
+numbers are held together.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +43,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .byte_bpe import byte_chars
 from .common import kept_table, scratch, small_batches, table
 
+#: Rows of digests and numbers that are broadcast at most.
+BROADCAST_ROWS = 200_000
 OPEN, CLOSE, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 
 
@@ -81,50 +93,71 @@ def vocabulary_bytes(path: str) -> list[bytes]:
     return out
 
 
+TURN = "conv_id long, depth int, prefix binary, position long, n_tokens long, loss_from long, loss_to long, ids binary"
+
+
 def chained(df: DataFrame, vocabulary: str) -> DataFrame:
-    """Every turn with its depth, the digest of the turns up to it, its tokens and its first position id."""
+    """Every turn with its depth, the digest of the turns up to it, its tokens (unsigned 16-bit) and its first position id."""
     own = pa.schema([("conv_id", pa.int64()), ("depth", pa.int32()), ("prefix", pa.binary()), ("position", pa.int64()), ("n_tokens", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(vocabulary)
+        ids_of = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        heads: dict[str, list[int]] = {}  # few roles
+        foot = ids_of([turn_parts("", "")[2]])[0]
         conv, depth, digest, position = object(), 0, b"", 0
         for batch in small_batches(batches, "text", 1 << 20):
             rows = list(zip(batch["conv_id"].to_pylist(), *((x or "" for x in batch[c].to_pylist()) for c in ("role", "text")), strict=True))
-            parts = [p for _, role, text in rows for p in turn_parts(role, text)]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-            out = []
-            for k, (c, role, text) in enumerate(rows):
+            bodies, out = ids_of([escaped(text) for _, _, text in rows]), []
+            if len(heads) > 1000:
+                heads.clear()
+            for (c, role, text), body in zip(rows, bodies, strict=True):
                 if c != conv:
                     conv, depth, digest, position = c, 0, b"", 0
-                head, body, foot = ids[3 * k : 3 * k + 3]
+                if role not in heads:
+                    heads[role] = ids_of([turn_parts(role, "")[0]])[0]
+                head = heads[role]
                 digest = hashlib.blake2b(digest + b"%d %d " % (len(role), len(text)) + role.encode() + text.encode(), digest_size=16).digest()
                 n, loss = len(head) + len(body) + len(foot), role == LOSS_ROLE
-                out.append((c, depth, digest, position, n, len(head) if loss else 0, len(head) + len(body) if loss else 0, np.array(head + body + foot, "<u4").tobytes()))
+                out.append((c, depth, digest, position, n, len(head) if loss else 0, len(head) + len(body) if loss else 0, array("H", head + body + foot).tobytes()))
                 depth, position = depth + 1, position + n
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), own, strict=True)], schema=own)
 
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_rows.mapInArrow(run, "conv_id long, depth int, prefix binary, position long, n_tokens long, loss_from long, loss_to long, ids binary")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, TURN)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A kept table, marked for a broadcast if it has few enough rows; Spark shuffles larger ones."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def write_tree(df: DataFrame, folder: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """Writes and returns two tables.
 
-    nodes: owner, depth, start (in the stream), position (id of the first token), n_tokens, loss_from, loss_to, ids
-    paths: conv_id, n_turns and runs: owner, from_depth, to_depth, lo, hi (the attention interval in the stream), in order of depth
+    nodes: owner, depth, start (in the stream), position (id of the first token), n_tokens, loss_from, loss_to, ids, shared (whether other conversations have it)
+    paths: conv_id, n_turns and runs: from_depth, to_depth, owner, lo, hi (the attention interval in the stream), in order of depth
     """
     spark = df.sparkSession
     turns = kept_table(chained(df, vocabulary), "chat-turns")
-    owners = turns.groupBy("prefix").agg(F.min(F.struct("conv_id"))["conv_id"].alias("owner"))
-    owned = kept_table(turns.select("conv_id", "depth", "prefix").join(owners, "prefix").select("conv_id", "depth", "owner"), "chat-owned")
-    runs = owned.groupBy("conv_id", "owner").agg(F.min("depth").alias("from_depth"), (F.max("depth") + 1).alias("to_depth"))
-    chains = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("from_depth", "owner"))).alias("r"))
-    chains = chains.select("conv_id", F.transform("r", lambda x: F.struct((-x["from_depth"]).alias("d"), x["owner"].alias("o"))).alias("chain"))
-    mine = owned.where(F.col("owner").eqNullSafe(F.col("conv_id"))).select(F.col("conv_id").alias("c"), F.col("depth").alias("d"))
-    chains = chains.withColumnRenamed("conv_id", "cc")
-    nodes = turns.join(mine, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("depth") == F.col("d"))).drop("c", "d", "prefix")
-    nodes = nodes.join(chains, F.col("conv_id").eqNullSafe(F.col("cc"))).drop("cc").withColumnRenamed("conv_id", "owner")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+
+    # owners, from digests: only shared turns go into the join
+    firsts = turns.groupBy(F.col("prefix").alias("p")).agg(F.min(F.struct("conv_id"))["conv_id"].alias("first"), F.count("*").alias("n"))
+    shared = kept_table(firsts.where("n > 1").select("p", F.struct("first").alias("first")), "chat-shared")
+    light = turns.select("conv_id", "depth", "prefix", "position", "n_tokens").join(small(shared), F.col("prefix") == F.col("p"), "left")
+    owned = light.select("conv_id", "depth", "position", (F.col("position") + F.col("n_tokens")).alias("end"), F.coalesce("first", F.struct(F.col("conv_id").alias("first")))["first"].alias("owner"), F.col("p").isNotNull().alias("shared"))
+    owned = owned.repartition("conv_id")
+    runs = owned.groupBy("conv_id", "owner").agg(F.min("depth").alias("from_depth"), (F.max("depth") + 1).alias("to_depth"), F.min("position").alias("from_position"), F.max("end").alias("to_position"), (F.max(F.when(F.col("shared"), F.col("depth"))) + 1).alias("shared_to"))
+    chains = kept_table(runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("from_depth", "to_depth", "owner", "from_position", "to_position", "shared_to"))).alias("r")), "chat-chains")
+
+    # nodes, in the order of the stream
+    last = F.element_at("r", -1)
+    own = chains.where(last["owner"].eqNullSafe(F.col("conv_id"))).select(F.struct("conv_id").alias("o"), last["from_depth"].alias("own_from"), F.coalesce(last["shared_to"], F.lit(0)).alias("shared_to"), F.transform("r", lambda x: F.struct((-x["from_depth"]).alias("d"), x["owner"].alias("o"))).alias("chain"))
+    own = kept_table(own, "chat-own")
+    columns = ("owner", "depth", "position", "n_tokens", "loss_from", "loss_to", "ids", "shared")
+    nodes = turns.withColumn("c", F.struct("conv_id")).join(small(own), (F.col("c") == F.col("o")) & (F.col("depth") >= F.col("own_from")))
+    nodes = nodes.withColumn("owner", F.col("conv_id")).withColumn("shared", F.col("depth") < F.col("shared_to"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -134,19 +167,20 @@ def write_tree(df: DataFrame, folder: str, vocabulary: str) -> tuple[DataFrame,
             at = int(ends[-1]) if len(ends) else at
             yield batch.append_column("part", pa.array(np.full(len(n), part), pa.int32())).append_column("local", pa.array(ends - n, pa.int64()))
 
-    columns = ("owner", "depth", "position", "n_tokens", "loss_from", "loss_to", "ids")
-    stream = nodes.repartitionByRange("chain", "depth").sortWithinPartitions("chain", "depth").select(*columns)
-    stream = kept_table(stream.mapInArrow(placed, "owner long, depth int, position long, n_tokens long, loss_from long, loss_to long, ids binary, part int, local long"), "chat-stream")
+    kinds = "owner long, depth int, position long, n_tokens long, loss_from long, loss_to long, ids binary, shared boolean, part int, local long"
+    nodes.repartitionByRange("chain", "depth").sortWithinPartitions("chain", "depth").select(*columns).mapInArrow(placed, kinds).write.parquet(f"{folder}/nodes")
+    stream = spark.read.schema(kinds).parquet(f"{folder}/nodes")
     first = stream.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each task
-    first = first.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("first"))
-    nodes = stream.join(first, "part").withColumn("start", F.col("first") + F.col("local")).select(*columns, "start")
-    nodes.write.parquet(f"{folder}/nodes")
-    nodes = spark.read.schema(nodes.schema).parquet(f"{folder}/nodes")
-
-    ends = nodes.select(F.col("owner").alias("o"), F.col("depth").alias("d"), "start", (F.col("start") + F.col("n_tokens")).alias("end"))
-    at = runs.join(ends.select("o", "d", F.col("start").alias("lo")), F.col("owner").eqNullSafe(F.col("o")) & (F.col("from_depth") == F.col("d"))).drop("o", "d")
-    at = at.join(ends.select("o", "d", F.col("end").alias("hi")), F.col("owner").eqNullSafe(F.col("o")) & (F.col("to_depth") - 1 == F.col("d"))).drop("o", "d")
-    paths = at.groupBy("conv_id").agg(F.max("to_depth").cast("long").alias("n_turns"), F.sort_array(F.collect_list(F.struct("from_depth", "to_depth", "owner", "lo", "hi"))).alias("runs"))
+    first.select(F.col("part").alias("task"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("first")).write.parquet(f"{folder}/parts")
+    parts = spark.read.schema("task int, first long").parquet(f"{folder}/parts")
+    nodes = stream.join(F.broadcast(parts), F.col("part") == F.col("task")).withColumn("start", F.col("first") + F.col("local")).select(*columns, "start")
+
+    # intervals: an owner's nodes follow each other in the stream
+    bases = nodes.groupBy(F.struct("owner").alias("b")).agg((F.min("start") - F.min("position")).alias("base"))
+    bases = kept_table(bases, "chat-bases")
+    each = chains.select("conv_id", F.explode("r").alias("x")).select("conv_id", F.struct(F.col("x.owner").alias("owner")).alias("o"), "x.from_depth", "x.to_depth", "x.owner", "x.from_position", "x.to_position")
+    each = each.join(small(bases), F.col("o") == F.col("b")).select("conv_id", F.struct("from_depth", "to_depth", "owner", (F.col("base") + F.col("from_position")).alias("lo"), (F.col("base") + F.col("to_position")).alias("hi")).alias("x"))
+    paths = each.groupBy("conv_id").agg(F.max("x.to_depth").cast("long").alias("n_turns"), F.sort_array(F.collect_list("x")).alias("runs"))
     paths.write.parquet(f"{folder}/paths")
     return nodes, spark.read.schema(paths.schema).parquet(f"{folder}/paths")
 
@@ -157,7 +191,6 @@ def read_tree(nodes: DataFrame, paths: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, conv, state = vocabulary_bytes(vocabulary), object(), None
-        text_of = lambda ids: b"".join(map(table.__getitem__, ids.tolist())).decode()
         done: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -169,29 +202,33 @@ def read_tree(nodes: DataFrame, paths: DataFrame, vocabulary: str) -> DataFrame:
             if state is not None:
                 done.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
 
-        for batch in small_batches(batches, "ids", 4 << 20):
+        for batch in small_batches(batches, "ids", 1 << 20):
             for c, raw, a, b in zip(*(batch[x].to_pylist() for x in ("conv_id", "ids", "loss_from", "loss_to")), strict=True):
                 if state is None or c != conv:
                     close()
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                ids = np.frombuffer(raw, "<u4")
-                segment, loss = text_of(ids), unescaped(text_of(ids[a:b]))
+                tokens = [table[i] for i in memoryview(raw).cast("H")]
+                segment, loss = b"".join(tokens).decode(), unescaped(b"".join(tokens[a:b]).decode())
                 role, text = parsed_turn(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += len(segment)
-                state[5] += len(ids)
+                state[5] += len(tokens)
             if len(done) >= 1000:
                 yield out()
         close()
         if done:
             yield out()
 
-    steps = paths.select("conv_id", F.explode("runs").alias("r")).select("conv_id", F.col("r.owner").alias("o"), F.explode(F.sequence("r.from_depth", F.col("r.to_depth") - 1)).alias("d"))
-    turns = steps.join(nodes, F.col("o").eqNullSafe(F.col("owner")) & (F.col("d") == F.col("depth"))).select("conv_id", "depth", "ids", "loss_from", "loss_to")
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    columns = ("conv_id", "depth", "ids", "loss_from", "loss_to")
+    mine = nodes.select(F.col("owner").alias("conv_id"), *columns[1:])  # an owner's own nodes need no look-up
+    steps = paths.select("conv_id", F.explode("runs").alias("r")).where(~F.col("r.owner").eqNullSafe(F.col("conv_id")))
+    steps = steps.select("conv_id", F.struct("r.owner").alias("o"), F.explode(F.sequence("r.from_depth", F.col("r.to_depth") - 1)).alias("d"))
+    shared = nodes.where("shared").select(F.struct("owner").alias("n"), *columns[1:])
+    others = steps.join(shared, (F.col("o") == F.col("n")) & (F.col("d") == F.col("depth"))).select(*columns)
+    ordered = mine.union(others).repartition("conv_id").sortWithinPartitions("conv_id", "depth")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 

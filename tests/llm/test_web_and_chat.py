@@ -191,7 +191,9 @@ def chat_rows():
     return rows + [(70, 0, None, None), (70, 1, "odd\nrole\\n", "t"), (71, None, "user", "n"), (71, 2, "assistant", "m"), (71, 2, "assistant", "m"), (None, 0, "assistant", "nobody")]
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_chat(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(chat, "BROADCAST_ROWS", 1 << 20 if broadcast else 0)
     rows = chat_rows()
     df = spark.createDataFrame([(*r, 1, "i", 2) for r in rows], CHAT).repartition(3)
     vocabulary = P.path("byte_bpe_50k.json")
@@ -202,7 +204,7 @@ def test_chat(spark):
     stream = sorted(nodes.collect(), key=lambda r: r["start"])
     at = 0
     for r in stream:  # each token once, one after another
-        assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
+        assert r["start"] == at and len(r["ids"]) == 2 * r["n_tokens"]
         at += r["n_tokens"]
     prefixes = set()
     for c in dict.fromkeys(r[0] for r in rows):
