@@ -5,9 +5,13 @@ In the buckets of the first bands every class is compared with the bucket's
 leader, the class that meets most others over all bands; then in all buckets
 those that are not in the leader's component. That can miss a link between two
 classes that the leader links with neither, so buckets whose classes are still
-in different components are then compared in full, block by block, within
-tasks that return only links that join components; no pair is dropped for the
-size of its bucket.
+in different components are then compared in full within tasks that return only
+links that join components. The classes of buckets beyond ``BLOCK`` are first
+split by prefix filtering: of two similar sets, the first quarter of one and
+that of the other, in any one order of all shingles, have a shingle in common,
+so only classes with such a shingle are compared; the order puts frequent
+shingles last. Where one is in too many first quarters even so, its classes are
+compared block by block; no pair is dropped for the size of its bucket.
 
 With ``BANDS`` bands of ``ROWS`` minima a pair at the threshold of 0.75 shares
 no bucket with probability (1 - 0.75 ** ROWS) ** BANDS, about 2e-6; the
@@ -16,7 +20,8 @@ signature test then loses less than 1e-6 (over five standard deviations).
 A null or empty text, or one without words, has an empty set and no links;
 rows with a null identifier have none either. Repeated rows each have a row in
 the result and are in one class. An empty table gives an empty table, and
-further columns are left out.
+further columns are left out. A very long text is looked at whole by its task
+alone, which needs about a hundred bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -39,6 +44,10 @@ FIRST_BANDS = 6
 SIGNATURE_FLOOR = 0.60
 #: Classes of a bucket that are compared with each other at once.
 BLOCK = 1000
+#: Shingles that come last in the order for prefix filtering, at most, and the classes that have such a one, at least.
+FREQUENT, FREQUENT_FROM = 100_000, 50
+#: The band of a pair that shares a shingle in place of a bucket.
+NO_BAND = -1
 #: Identifiers of candidates are broadcast up to this number; Spark joins more by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -181,7 +190,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 def links_across(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
     """Links that join different components of a bucket (or of two blocks of it): own block, document, component, signature, set of each row.
 
-    A pair is tested in the first bucket that it shares, and only while its components aren't joined.
+    A pair is tested in the first bucket that it shares (by shingle: in each), and only while its components aren't joined.
     """
     own, ids = np.array([r[0] for r in rows]), [r[1] for r in rows]
     marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
@@ -199,8 +208,8 @@ def links_across(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
             continue
         equal = marks[rest] == marks[k]
         good = np.flatnonzero(equal.sum(1) >= least)
-        first = equal[good].reshape(len(good), BANDS, ROWS).all(2).argmax(1) == band
-        good = good[first]
+        if band != NO_BAND:
+            good = good[equal[good].reshape(len(good), BANDS, ROWS).all(2).argmax(1) == band]
         for m in rest[good[np.argsort(-equal[good].sum(1), kind="stable")]].tolist():
             small, large = sorted((sizes[k], sizes[m]))
             if comp[m] != comp[k] and 100 * small >= SIMILAR_PERCENT * large and similar(set_of(k), set_of(m)):
@@ -208,9 +217,47 @@ def links_across(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
                 yield ids[k], ids[m]
 
 
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """The sorted hashes of the shingles that most of these sets have: a table of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "shingles"):
+            h, n = np.unique(np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    return np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def split_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of large buckets, with a shingle of their sets' first quarters that another component has too in place of the bucket, and the number of classes that have it."""
+    own = members.select("doc_id", "component").distinct().join(sets, "doc_id")
+    frequent = frequent_shingles(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "shingles"):
+            doc, comp, key = [], [], []
+            for d, c, raw in zip(*(batch[x].to_pylist() for x in ("doc_id", "component", "shingles")), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                last = np.isin(h, frequent, assume_unique=True)
+                first = np.concatenate([h[~last], h[last]])[: len(h) - -(-SIMILAR_PERCENT * len(h) // 100) + 1]
+                key.append(first.view(np.int64))
+                doc.append(np.full(len(first), d))
+                comp.append(np.full(len(first), c))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, doc, comp)], names=["key", "doc_id", "component"])
+
+    posted = kept_table(own.mapInArrow(run, "key long, doc_id long, component long"), "prefixes")
+    shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "n")
+    return posted.join(shared, "key").withColumn("band", F.lit(NO_BAND).cast("byte"))
+
+
 def across(members: DataFrame, signed: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links between components that share a bucket. All pairs are compared, block by block, on full sets; only joining links leave the task."""
-    sets = sets_of(df, kept_table(members.select(F.col("doc_id").alias(doc_id)).distinct(), "unsettled-ids"), doc_id, text)
+    """Links between components that share a bucket. Pairs are compared within tasks, on full sets; only joining links leave the task."""
+    sets = kept_table(sets_of(df, kept_table(members.select(F.col("doc_id").alias(doc_id)).distinct(), "unsettled-ids"), doc_id, text), "unsettled-sets")
+    columns = ("key", "band", "doc_id", "component", "n")
+    large = members.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        members = members.where(F.col("n") <= BLOCK).select(*columns).union(split_by_prefix(large, sets).select(*columns))
     blocked = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = blocked.select("key", "band", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")

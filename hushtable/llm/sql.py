@@ -81,5 +81,21 @@ k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, s
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
 
 
+#: Components by the smallest document that can be reached.
+MINHASH = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_SPLIT}'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, min(doc_id) OVER (PARTITION BY md5(string_agg(s, chr(10) ORDER BY s))) AS class_id FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT node, b FROM r JOIN e ON e.a = reached),
+c AS (SELECT node, min(reached) AS component FROM r GROUP BY node),
+f AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept, class_id FROM f"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality(), "op5_chat": chat(), "op6_html": HTML, "op7_warc": WARC, "op9_substrings": SUBSTRINGS}
+    return {"op2_quality_rules": quality(), "op5_chat": chat(), "op6_html": HTML, "op7_warc": WARC, "op9_substrings": SUBSTRINGS, "op10_minhash": MINHASH}

@@ -162,6 +162,32 @@ def test_near_duplicates_without_a_hub(spark, monkeypatch):
     assert got == want
 
 
+def test_prefix_filter_loses_no_pair(spark, monkeypatch):
+    """Long documents of one common passage and own words, of which some are alike: one bucket, in which few pairs are compared."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "FREQUENT_FROM", 5)
+    rng, docs = random.Random(14), []
+    passage = prose(rng, 120, 800)
+    for k in range(24):
+        own = prose(rng, 60, 800)
+        docs.append((2 * k, f"{passage} {own}"))
+        if k % 3 == 0:
+            docs.append((2 * k + 1, f"{passage} {own[: len(own) * 4 // 5]} {prose(rng, 12, 800)}"))
+    want = brute.groups(docs)
+    assert 1 < len({c for _, c in want.values()}) < len(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert by_id(minhash.near_duplicates(df), "n_shingles", "component_id") == want
+    members = spark.createDataFrame([(1, 0, d, d, len(docs)) for d, _ in docs], "key long, band byte, doc_id long, component long, n long")
+    posted = minhash.split_by_prefix(members, minhash.sets_of(df, df.select("doc_id"))).collect()
+    keys = {}
+    for r in posted:
+        keys.setdefault(r["key"], set()).add(r["doc_id"])
+    pairs = {(a, b) for own in keys.values() for a in own for b in own if a < b}
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in docs for w in [brute.words(t, True)]}
+    links = {(a, b) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 75 * len(shingles[a] | shingles[b])}
+    assert links and links <= pairs and len(pairs) < len(docs) * (len(docs) - 1) / 4
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(5, 5), (None, 3), (1000, 700), (1000, 701), (1000, 702)]
