@@ -76,7 +76,7 @@ def grams_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         step = min(span, grams - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    return least[(np.cumsum(counts) - counts)[of] + at], of, at, h
+    return mixed(least[(np.cumsum(counts) - counts)[of] + at]), of, at, h  # mixed again, as the least hashes are mostly small ones
 
 
 def packed_hashes(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
