@@ -7,7 +7,8 @@ the pattern can cross, and each distinct piece of a batch is encoded once.
 
 Nulls and empty texts have no tokens. Rows are never merged or dropped, so
 repeated rows give repeated results; an empty table gives an empty table.
-Further columns of the input are left out unless named in ``keep``.
+Further columns of the input are left out unless named in ``keep``. A very long
+text is encoded whole, by its task alone.
 """
 
 from __future__ import annotations

@@ -36,7 +36,8 @@ next sweep's are committed.
 Words are told apart by a 64-bit hash. A null or empty text has the end token
 only. Rows that share an identifier, also null, are one document of several
 texts, each with its end. An empty table gives an empty table; further
-columns are left out.
+columns are left out. The tokens of a very long text are dealt as all others
+are; its task alone holds its words.
 """
 
 from __future__ import annotations

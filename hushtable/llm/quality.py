@@ -4,7 +4,8 @@ Every metric is a Column over the text; ``bind`` gives an intermediate result a
 name inside the expression, so that the words of a text are split once. Texts
 that are null or empty have no words and fail the base rules. Repeated rows
 are judged alike; an empty table gives an empty table; further columns pass
-through ``rejected`` and ``accepted`` untouched.
+through ``judged`` and ``accepted`` untouched. A very long text is measured
+whole, in arrays of its words and windows that its task alone holds.
 """
 
 from __future__ import annotations
