@@ -5,7 +5,8 @@ later one they pass (they have no words, no links, no windows and no item).
 Rows with a null identifier pass near_dedup, as they can't be named; repeated
 rows are judged alike, and near_dedup keeps all rows of the identifier that
 stays. An empty table gives an empty table. All columns of the table pass
-through, whatever their names; the last stage returns its own.
+through, whatever their names; the last stage returns its own. A very long text
+is worked on whole by the task that has it.
 """
 
 from __future__ import annotations
