@@ -534,23 +534,26 @@ def opened_block(inbox: list, top: np.ndarray) -> tuple[Block, np.ndarray, np.nd
     return block, *(np.concatenate([x[k] for x in down]).astype(np.int64) for k in ("c", "T")), rows
 
 
-def stats_of(sent: DataFrame, width: int) -> np.ndarray:
-    """The sum of the STATS messages, which have so many numbers each."""
+def stats_of(sent: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the STATS messages of blocks of words (``width`` numbers) and of blocks of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.zeros(width)
+        v = np.zeros(width + BINS_OF_CONTEXTS)
         for batch in batches:
             for raw in batch["data"].to_pylist():
-                v = v + unpacked(raw)["v"]
+                x = unpacked(raw)["v"]
+                own = v[:width] if len(x) == width else v[width:]
+                own += x
         at = np.flatnonzero(v)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(v[at])], names=["k", "v"])
 
-    out = np.zeros(width)
+    out = np.zeros(width + BINS_OF_CONTEXTS)
     for r in sent.where(F.col("kind") == STATS).select("data").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # some thousand numbers
         out[r["k"]] = r["v"]
-    return out
+    return out[:width], out[width:]
 
 
+BINS_OF_CONTEXTS = 8 * BINS
 SUMS_OF_BLOCKS, SEATS = 6, (EXACT + 1) ** 2
 
 
@@ -601,10 +604,10 @@ class Model:
         folder, top, width = scratch(self.spark, "pitman-yor"), self.top, stats_width(len(at_top))
         self.shared = self.spark.sparkContext.broadcast((self.head, rank, count))
         parts = kept_table(gathered(dealt(df, self.shared, blocks, doc_id, text), self.shared, top, blocks, folder), "word-blocks")
-        stats = stats_of(parts, width)
-        self.fixed = fixed = model_of(stats, self.top_count)
         routes = kept_table(routed(parts, blocks, folder), "context-blocks")
-        self.totals = [totals_of(stats, stats_of(routes, 8 * BINS), 0, None, fixed)]
+        stats, bins = stats_of(parts.union(routes), width)
+        self.fixed = fixed = model_of(stats, self.top_count)
+        self.totals = [totals_of(stats, bins, 0, None, fixed)]
         self.files, paths = (kept_table(x.where(F.col("kind") == kind), "block-files") for x, kind in ((parts, FILES), (routes, ROUTE)))
         self.now, self.down = parts, routes
         for sweep in range(1, SWEEPS + 1):
@@ -620,7 +623,7 @@ class Model:
             before = self.now, self.down
             self.now = kept_table(delivered(self.inbox(), blocks, work), "seating")
             self.down = kept_table(totalled(paths, self.now, blocks), "context-totals")
-            self.totals.append(totals_of(stats_of(self.now, width), stats_of(self.down, 8 * BINS), sweep, self.totals[-1], fixed))
+            self.totals.append(totals_of(*stats_of(self.now.union(self.down), width), sweep, self.totals[-1], fixed))
             dropped_tables(*before)
         self.of_top = self.spark.sparkContext.broadcast(self.log_p_of_top())
 

@@ -343,10 +343,6 @@ class WindowIndex:
     def range_of(self, fp: str = "fp") -> F.Column:
         return (F.shiftright(F.col(fp), 64 - self.bits) + (self.ranges >> 1)).cast("int")
 
-    def files(self, found: DataFrame) -> DataFrame:
-        """``range`` and ``path`` of a run's files, as a table of its own."""
-        return kept_table(found.where(F.col("kind") == FILE).select(F.col("n").alias("range"), "path"), "window-run")
-
     def dealt(self, rows: DataFrame) -> DataFrame:
         """Rows by range, in order; before them the paths of the runs' files of the range."""
         low = F.shiftleft(F.col("range").cast("long") - (self.ranges >> 1), 64 - self.bits)
@@ -368,7 +364,7 @@ class WindowIndex:
                 yield out
 
         found = kept_table(self.dealt(window_rows(batch, doc_id, text)).mapInArrow(run, FOUND_SQL), "window-merge")
-        removed, run_files = found.where(F.col("kind") == REMOVED).select("doc_id", "pos", "n"), self.files(found)
+        removed, run_files = found.where(F.col("kind") == REMOVED).select("doc_id", "pos", "n"), found.where(F.col("kind") == FILE).select(F.col("n").alias("range"), "path")
         opened_windows = found.where(F.col("kind") == OPEN).select("fp", "hash", "doc_id", "pos", "own")
         if not opened_windows.isEmpty():
             first = kept_table(opened_windows.groupBy("fp", "hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.bool_and("own").alias("new")), "window-firsts")
