@@ -46,7 +46,7 @@ from .common import BASES, few_rows, flat_words, fresh, give_back, kept_table, m
 from .sstable import made_folder, opened
 
 WINDOW, GRAM = 20, 5
-GROUP_ROWS, MERGED_ROWS = 200_000, 50_000
+GROUP_ROWS, MERGED_ROWS = 200_000, 20_000
 #: Batches of a whole table, and runs that an index has at most.
 BATCHES, MOST_RUNS = 6, 4
 #: Bytes of text for each range of fingerprints, and the bounds of their number (powers of two).
@@ -150,24 +150,30 @@ class RunFile:
         self.fp, self.hashes = np.empty(0, np.int64), pa.array([], pa.binary())
 
     def more(self) -> bool:
-        """Takes up the next batch; False at the end."""
+        """Takes up the next batch when the last one is used up; False at the end."""
+        if len(self.fp):
+            return True
         batch = next(self.batches, None)
         if batch is None:
             self.source.close()
             return False
-        self.fp = np.concatenate([self.fp, batch["fp"].to_numpy()])
-        self.hashes = pa.concat_arrays([self.hashes, batch["hashes"]])
+        self.fp, self.hashes = batch["fp"].to_numpy(), batch["hashes"]
         return True
 
-    def until(self, fp: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprint and hash of all windows up to this fingerprint that were not given yet."""
-        while (not len(self.fp) or self.fp[-1] <= fp) and self.more():
-            pass
-        k = int(np.searchsorted(self.fp, fp, side="right"))
-        h, sizes = unpacked_hashes(self.hashes[:k])
-        out = np.repeat(self.fp[:k], sizes), h
-        self.fp, self.hashes = self.fp[k:], self.hashes[k:]
-        return out
+    def until(self, fp: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprint and hash of all windows up to this fingerprint that were not given yet; of the ``wanted`` fingerprints, if these are named. Others are dropped batch by batch."""
+        fps, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while self.more() and self.fp[0] <= fp:
+            k = int(np.searchsorted(self.fp, fp, side="right"))
+            own, part = self.fp[:k], self.hashes[:k]
+            if wanted is not None:
+                good = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+                own, part = own[good], part.filter(pa.array(good))
+            h, sizes = unpacked_hashes(part)
+            fps.append(np.repeat(own, sizes))
+            hashes.append(h)
+            self.fp, self.hashes = self.fp[k:], self.hashes[k:]
+        return np.concatenate(fps), np.concatenate(hashes)
 
 
 class RunWriter:
@@ -180,11 +186,11 @@ class RunWriter:
 
     def add(self, fp: np.ndarray, h: np.ndarray) -> None:
         """Windows in the order of fingerprints, which follow those written so far."""
-        for a in range(0, len(fp), 1 << 18):
-            part = fp[a : a + (1 << 18)]
+        for a in range(0, len(fp), 1 << 16):
+            part = fp[a : a + (1 << 16)]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sizes = np.diff(np.append(first, len(part)))
-            self.out.write_batch(pa.RecordBatch.from_arrays([pa.array(part[first]), packed_hashes(h[a : a + (1 << 18)], sizes)], names=["fp", "hashes"]))
+            self.out.write_batch(pa.RecordBatch.from_arrays([pa.array(part[first]), packed_hashes(h[a : a + (1 << 16)], sizes)], names=["fp", "hashes"]))
 
     def close(self) -> str:
         self.out.close()
@@ -216,13 +222,11 @@ def _removed(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def known(fp: np.ndarray, h: np.ndarray, old_fp: np.ndarray, old_h: np.ndarray) -> np.ndarray:
-    """Which windows are among the old ones; both in the order of fingerprints."""
+    """Which windows are among the old ones."""
     found = np.zeros(len(fp), bool)
     shared = np.isin(fp, old_fp)
     if shared.any():
-        old = np.isin(old_fp, fp)
-        both = np.concatenate([old_fp[old], fp[shared]]), np.concatenate([old_h[old], h[shared]])
-        n_old = int(old.sum())
+        both, n_old = (np.concatenate([old_fp, fp[shared]]), np.concatenate([old_h, h[shared]])), len(old_fp)
         order = np.lexsort((np.arange(len(both[0])) >= n_old, both[1], both[0]))  # old windows first
         f, x = both[0][order], both[1][order]
         new = np.ones(len(f), bool)
@@ -239,8 +243,9 @@ class Merge:
     def __init__(self, folder: str):
         self.folder, self.files, self.writer = folder, [], None
 
-    def history(self, fp: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = [f.until(fp) for f in self.files]
+    def history(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of these fingerprints (ascending) in the runs."""
+        parts = [f.until(int(wanted[-1]), wanted) for f in self.files]
         if not parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(map(np.concatenate, zip(*parts, strict=True)))
@@ -263,7 +268,7 @@ class Merge:
         if not group.num_rows:
             return
         fp, h, doc, pos = self.exploded(group)
-        old_fp, old_h = self.history(int(fp[-1]))
+        old_fp, old_h = self.history(np.unique(fp))
         old = known(fp, h, old_fp, old_h)
         order = np.lexsort((pos, doc, h, fp))
         f, x, d, p, o = fp[order], h[order], doc[order], pos[order], old[order]
@@ -277,18 +282,14 @@ class Merge:
     def opened_up(self, group: pa.Table) -> Iterator[pa.RecordBatch]:
         """The windows of one very frequent fingerprint, and the first time those of the runs, for a look-up by window."""
         fp, h, doc, pos = self.exploded(group)
-        old_fp, old_h = self.history(int(fp[-1]))
-        yield from self.settled_old(old_fp, old_h, int(fp[-1]))
+        old_fp, old_h = self.history(fp[-1:])
+        for a in range(0, len(old_h), MERGED_ROWS):
+            part = old_h[a : a + MERGED_ROWS]
+            yield _batch(OPEN, np.full(len(part), NO_ID), np.full(len(part), -1), fp=old_fp[a : a + MERGED_ROWS], hash=part, own=np.zeros(len(part), bool))
         for a in range(0, len(fp), MERGED_ROWS):
             b = a + MERGED_ROWS
             yield _batch(OPEN, doc[a:b], pos[a:b], fp=fp[a:b], hash=h[a:b], own=np.ones(len(fp[a:b]), bool))
 
-    def settled_old(self, fp: np.ndarray, h: np.ndarray, frequent: int) -> Iterator[pa.RecordBatch]:
-        h = h[fp == frequent]  # lower fingerprints of the runs are in none of these rows
-        for a in range(0, len(h), MERGED_ROWS):
-            part = h[a : a + MERGED_ROWS]
-            yield _batch(OPEN, np.full(len(part), NO_ID), np.full(len(part), -1), fp=np.full(len(part), frequent), hash=part, own=np.zeros(len(part), bool))
-
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         frequent = None
