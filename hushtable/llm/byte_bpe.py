@@ -29,7 +29,7 @@ from .common import small_batches, table
 #: Text that a task looks at at once.
 PIECE_BYTES = 2 << 20
 #: Bytes of pieces and their ids that a worker remembers between batches, and what a remembered piece costs besides.
-REMEMBERED_BYTES, ENTRY_BYTES = 24 << 20, 200
+REMEMBERED_BYTES, ENTRY_BYTES = 36 << 20, 200
 #: Marks after a Latin letter or a digit, at the end (U+0130 becomes a letter and a mark in lower case).
 FINAL_MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])[.,!#$%&*]+$"
 #: A space before any white space: such texts are encoded whole.

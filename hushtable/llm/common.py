@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..names import fresh as fresh, scratch as scratch
 from ..shipping import ship
 
-BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 #: Words are maximal runs of anything but space and the control characters x09-x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 

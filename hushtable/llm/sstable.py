@@ -193,10 +193,9 @@ def word_encoder(vocabulary: str) -> PieceEncoder:
 
 
 @functools.cache
-def special_strings(vocabulary: str) -> str:
-    """A pattern of the special tokens' strings."""
-    added = word_encoder(vocabulary).tokenizer.get_added_tokens_decoder().values()
-    return "|".join(re.escape(t.content) for t in added if t.special)
+def special_strings(vocabulary: str) -> list[str]:
+    """The special tokens' strings."""
+    return [t.content for t in word_encoder(vocabulary).tokenizer.get_added_tokens_decoder().values() if t.special]
 
 
 def encode_words(vocabulary: str, text: pa.Array, special_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +204,12 @@ def encode_words(vocabulary: str, text: pa.Array, special_as_text: bool = False)
     Words are encoded apart, as the tokenizer lowers letters and drops white space itself. A text with a
     special token's string is encoded whole, as the library looks for these before it lowers anything.
     """
-    encoder, special = word_encoder(vocabulary), special_strings(vocabulary)
+    encoder = word_encoder(vocabulary)
     encoder.tokenizer.encode_special_tokens = True
     text = pc.fill_null(text, "")
     whole = np.zeros(len(text), bool)
-    if special and not special_as_text:
-        whole = pc.match_substring_regex(text, special).to_numpy(zero_copy_only=False)
+    for special in () if special_as_text else special_strings(vocabulary):
+        whole |= pc.match_substring(text, special).to_numpy(zero_copy_only=False)
     words, counts = flat_words(pc.if_else(pa.array(whole), "", text) if whole.any() else text, lower=True)
     ids, sizes = encode_pieces(encoder, words, np.repeat(np.arange(len(counts)), counts), len(counts))
     if not whole.any():
